@@ -1,6 +1,613 @@
-"""The engine's queries and their SQL equivalents."""
+"""The engine's queries over the tables of a folder, and their SQL equivalents."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from liame.clock import local_day
+from liame.corpus import Corpus, Person, corpus
+from liame.functions import text as tx
+from liame.functions.scoring import round2
+from liame.operators import compare as cp
+from liame.operators import documents as dc
+from liame.operators import extract as ex
+from liame.operators import networks as nw
+from liame.operators import outlets as ot
+from liame.operators import post as po
+from liame.operators import series as sr
+from liame.operators import terms as tm
+from liame.operators.scope import Scope, about, in_scope, in_week, on_day, tracked, with_person, with_term
+from liame.oracles import SQL
+from liame.plans import build as bd
+from liame.plans import router as rt
+from liame.streaming import ingest as ig
+
+A, B = "jose-nhusabise", "frederico-vivedim-nhisubuta"
+LEANS = {"folhetimselhapuce.pt": "left", "gazetaficagece.jor.br": "right", "jornalgalhunoce.jor.br": "center", "diariotrunhimice.jor.br": "left", "correiorobelice.jor.br": "right"}
+WINDOW, WEEK = Scope(21), Scope(7)
+ARRIVAL = ["collected_at", "doc_id"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = SQL
+
+
+def query(f: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
+    """Registers a function of the corpus as a query under its name."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return f(corpus(spark, folder))
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+def leans(c: Corpus) -> DataFrame:
+    return c.docs.sparkSession.createDataFrame(sorted(LEANS.items()), "domain string, lean string")
+
+
+def scores(c: Corpus) -> DataFrame:
+    """Stand-in testimony: a figure of ids alone, null for every fifth pair, so that SQL can say it too."""
+    x = F.col("doc_id") * 7 + F.length("person_id") * 13
+    score = F.when((F.col("doc_id") + F.length("person_id")) % 5 == 0, None).otherwise((x % 21 - 10).cast("double"))
+    return c.doc_persons.select("doc_id", "person_id", score.alias("score"))
+
+
+def views(c: Corpus) -> DataFrame:
+    """Stand-in daily series: documents per person and local day."""
+    docs = c.docs.select("doc_id", local_day(F.col("published_at")).alias("day"))
+    return c.doc_persons.join(docs, "doc_id").groupBy("person_id", "day").agg((F.count(F.lit(1)) * 100).alias("views"))
+
+
+def mine(c: Corpus, scope: Scope = WINDOW, who: str = A) -> DataFrame:
+    return about(c, in_scope(c.docs, scope, LEANS), who)
+
+
+def top_keys(c: Corpus, p: Person, limit: int = 40) -> DataFrame:
+    return tm.graph_nodes(c, p, WINDOW, limit=limit).select("kind", "term")
+
+
+@query
+def people(c: Corpus) -> DataFrame:
+    return c.persons.select("id", "name", F.size("aliases").cast("long").alias("n_aliases"), "party", "office", "uf")
+
+
+@query
+def pmi_nodes(c: Corpus) -> DataFrame:
+    return tm.graph_nodes(c, c.person(A), WINDOW, sort="count")
+
+
+@query
+def pmi_nodes_by_surprise(c: Corpus) -> DataFrame:
+    return tm.graph_nodes(c, c.person(A), WINDOW, sort="pmi", least=3)
+
+
+@query
+def pmi_nodes_of_kind(c: Corpus) -> DataFrame:
+    return tm.graph_nodes(c, c.person(A), Scope(21, sources=("rss", "gnews")), kinds=("word", "org"), limit=60)
+
+
+@query
+def term_counts(c: Corpus) -> DataFrame:
+    p = c.person(A)
+    return tm.term_counts(c, mine(c), p.tokens).select("kind", "term", "c_pt", round2(F.col("tone")).alias("tone"), "reach")
+
+
+@query
+def term_totals(c: Corpus) -> DataFrame:
+    return tm.term_totals(c, tracked(c, in_scope(c.docs, WINDOW))).join(c.terms, "term_id").select("kind", "term", "c_t")
+
+
+@query
+def scope_stats(c: Corpus) -> DataFrame:
+    return tm.totals(c, in_scope(c.docs, WINDOW), c.person(A))
+
+
+@query
+def signature_top5(c: Corpus) -> DataFrame:
+    p = c.person(A)
+    return tm.signature(tm.scored_terms(c, in_scope(c.docs, WINDOW), p, p.tokens))
+
+
+@query
+def cooccurrence_links(c: Corpus) -> DataFrame:
+    return tm.links(c, mine(c), top_keys(c, c.person(A)))
+
+
+@query
+def star_links(c: Corpus) -> DataFrame:
+    p = c.person(A)
+    return tm.star(p, tm.graph_nodes(c, p, WINDOW))
+
+
+@query
+def induced_links(c: Corpus) -> DataFrame:
+    p = c.person(A)
+    names = top_keys(c, p, 20).select(F.concat_ws(":", "kind", "term").alias("name"))
+    return tm.induced(tm.links(c, mine(c), top_keys(c, p)), names)
+
+
+@query
+def edge_merge(c: Corpus) -> DataFrame:
+    keys = top_keys(c, c.person(A))
+    return tm.merged_edges(tm.links(c, mine(c), keys), tm.links(c, mine(c, who=B), keys))
+
+
+@query
+def related_terms(c: Corpus) -> DataFrame:
+    edges = tm.links(c, mine(c), top_keys(c, c.person(A)))
+    return po.related(edges, "word:governo")
+
+
+@query
+def sources_by_outlet(c: Corpus) -> DataFrame:
+    return ot.sources(c, c.person(A), WINDOW)
+
+
+@query
+def sources_labelled(c: Corpus) -> DataFrame:
+    return ot.labelled(ot.sources(c, c.person(A), WINDOW).select("domain", "source", "docs"), leans(c))
+
+
+@query
+def tone_matrix(c: Corpus) -> DataFrame:
+    return ot.tone_matrix(c)
+
+
+@query
+def agenda_share(c: Corpus) -> DataFrame:
+    return ot.agenda(c, WINDOW)
+
+
+@query
+def agenda_pivot(c: Corpus) -> DataFrame:
+    return po.agenda_rows(ot.agenda(c, WINDOW), [A, B]).select("domain", F.col(f"`{A}`").alias("share_a"), F.col(f"`{B}`").alias("share_b"))
+
+
+@query
+def comention_pairs(c: Corpus) -> DataFrame:
+    return ot.comention(c, WINDOW)
+
+
+@query
+def comention_matrix(c: Corpus) -> DataFrame:
+    return po.comention_matrix(ot.comention(c, WINDOW), c.persons.select("id"))
+
+
+@query
+def testimony_grouping_sets(c: Corpus) -> DataFrame:
+    return ot.testimony(c, scores(c), c.person(A))
+
+
+@query
+def term_testimony(c: Corpus) -> DataFrame:
+    p = c.person(A)
+    return ot.term_testimony(c, scores(c), p, WINDOW, top_keys(c, p))
+
+
+@query
+def candidates(c: Corpus) -> DataFrame:
+    return dc.candidates(c)
+
+
+@query
+def candidate_samples(c: Corpus) -> DataFrame:
+    return dc.candidate_samples(c, dc.candidates(c).select("name"))
+
+
+@query
+def docs_page(c: Corpus) -> DataFrame:
+    return dc.page(mine(c), 50, 50)
+
+
+@query
+def docs_count(c: Corpus) -> DataFrame:
+    return dc.counted(mine(c))
+
+
+@query
+def docs_by_term(c: Corpus) -> DataFrame:
+    return dc.page(with_term(c, mine(c), "governo", ("word", "phrase")))
+
+
+@query
+def docs_with_entity(c: Corpus) -> DataFrame:
+    return with_person(c, mine(c), B).select("doc_id", "source", "uri")
+
+
+@query
+def docs_by_day(c: Corpus) -> DataFrame:
+    return on_day(mine(c), "2026-08-31").select("doc_id", "source")
+
+
+@query
+def docs_by_week(c: Corpus) -> DataFrame:
+    return in_week(mine(c), "2026-08-24").select("doc_id", "source")
+
+
+@query
+def country_filter(c: Corpus) -> DataFrame:
+    one = lambda k: in_scope(c.docs, Scope(21, country=k)).agg(F.lit(k).alias("country"), F.count(F.lit(1)).alias("docs"))
+    return one("br").unionByName(one("pt")).unionByName(one("all"))
+
+
+@query
+def lean_filter(c: Corpus) -> DataFrame:
+    scope = Scope(21, domains=("gazetaficagece.jor.br", "folhetimselhapuce.pt", "jornalgalhunoce.jor.br"), leans=("left", "center"), country="all")
+    return in_scope(c.docs, scope, LEANS).groupBy("domain").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query
+def attention_series(c: Corpus) -> DataFrame:
+    return sr.attention(views(c), A)
+
+
+@query
+def peak_day(c: Corpus) -> DataFrame:
+    return po.peak_day(sr.attention(views(c), A))
+
+
+@query
+def peak_lag(c: Corpus) -> DataFrame:
+    return po.lag_days(sr.attention(views(c), A), sr.attention(views(c), B))
+
+
+@query
+def compare_entities(c: Corpus) -> DataFrame:
+    return cp.compare(c, c.person(A), c.person(B), WINDOW)
+
+
+@query
+def lenses(c: Corpus) -> DataFrame:
+    return cp.lenses(c, c.person(A), Scope(21, sources=("rss",)), Scope(21, sources=("gnews",)))
+
+
+@query
+def bridge_candidates(c: Corpus) -> DataFrame:
+    return cp.bridge_candidates(cp.compare(c, c.person(A), c.person(B), WINDOW))
+
+
+@query
+def ruler_balance(c: Corpus) -> DataFrame:
+    rows = cp.compare(c, c.person(A), c.person(B), WINDOW)
+    return rows.select("term", "kind", po.balance(F.col("a_pmi"), F.col("b_pmi")).alias("balance"))
+
+
+def _rising(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    counts = sr.rising_counts(c, c.person(A), WEEK)
+    return counts, sr.rising(counts)
+
+
+@query
+def rising_terms(c: Corpus) -> DataFrame:
+    return sr.lifted(_rising(c)[1])
+
+
+@query
+def rising_present(c: Corpus) -> DataFrame:
+    return sr.present(_rising(c)[1])
+
+
+@query
+def rising_totals(c: Corpus) -> DataFrame:
+    return sr.rising_totals(c, _rising(c)[0], c.person(A), WEEK)
+
+
+@query
+def rare_risers(c: Corpus) -> DataFrame:
+    rows = _rising(c)[1]
+    return po.rare_risers(sr.lifted(rows), sr.present(rows)).select("term", "kind", "lift")
+
+
+@query
+def share_balance(c: Corpus) -> DataFrame:
+    counts, rows = _rising(c)
+    words = sr.rising_totals(c, counts, c.person(A), WEEK)
+    figure = po.share_balance(F.col("count_recent_raw"), F.col("words_recent"), F.col("count_baseline_raw"), F.col("words_baseline"))
+    return rows.crossJoin(F.broadcast(words)).select("term", "kind", F.round(figure, 6).alias("balance"))
+
+
+@query
+def lift_balance(c: Corpus) -> DataFrame:
+    counts, rows = _rising(c)
+    own = sr.rising_totals(c, counts, c.person(A), WEEK).select(po.lift_of_person(F.col("about_recent"), 7, F.col("about_baseline"), 14).alias("own"))
+    return rows.crossJoin(F.broadcast(own)).select("term", "kind", F.round(po.lift_balance(F.col("lift"), F.col("own")), 6).alias("balance"))
+
+
+@query
+def timeline_week(c: Corpus) -> DataFrame:
+    return sr.timeline(mine(c))
+
+
+@query
+def timeline_day(c: Corpus) -> DataFrame:
+    return sr.timeline(mine(c), 21, 1)
+
+
+@query
+def timeline_term(c: Corpus) -> DataFrame:
+    return sr.timeline(with_term(c, mine(c), "governo"), 21, 1)
+
+
+@query
+def week_about(c: Corpus) -> DataFrame:
+    return sr.week_about(c, c.person(A), WEEK)
+
+
+@query
+def week_terms(c: Corpus) -> DataFrame:
+    return sr.week_terms(c, c.person(A), WEEK)
+
+
+@query
+def week_testimony(c: Corpus) -> DataFrame:
+    return sr.week_testimony(c, scores(c), c.person(A), WEEK)
+
+
+@query
+def term_weeks(c: Corpus) -> DataFrame:
+    return sr.term_weeks(c, tokens=bd.person_tokens(c))
+
+
+def _persistence(c: Corpus) -> DataFrame:
+    return sr.persistence(sr.term_weeks(c, weeks=12, tokens=bd.person_tokens(c)), 12, None)
+
+
+@query
+def persistence_stats(c: Corpus) -> DataFrame:
+    return _persistence(c).select("person_id", "term", "kind", "streak", "half_life", "weeks_present", "total")
+
+
+@query
+def persistence_series(c: Corpus) -> DataFrame:
+    return _persistence(c).select("person_id", "term", "kind", F.posexplode("series").alias("slot", "count")).withColumn("slot", F.col("slot").cast("long"))
+
+
+@query
+def persistence_level(c: Corpus) -> DataFrame:
+    rows = sr.term_weeks(c, tokens=bd.person_tokens(c)).where(F.col("person_id") == A)
+    top = rows.agg(F.max("count").alias("top"))
+    return rows.crossJoin(F.broadcast(top)).select("term", "kind", "week", po.level(F.col("count"), F.col("top")).alias("level"))
+
+
+@query
+def normalize_text(c: Corpus) -> DataFrame:
+    return c.docs.select("doc_id", tx.folded(F.col("text")).alias("folded"))
+
+
+@query
+def hashtags(c: Corpus) -> DataFrame:
+    return ex.hashtag_rows(c.docs)
+
+
+@query
+def content_words(c: Corpus) -> DataFrame:
+    return ex.word_rows(c.docs)
+
+
+@query
+def decode_entities(c: Corpus) -> DataFrame:
+    return c.docs.select("doc_id", tx.decode("text").alias("text"))
+
+
+@query
+def word_pairs(c: Corpus) -> DataFrame:
+    return ex.pair_stage(c.docs)
+
+
+@query
+def phrase_lexicon(c: Corpus) -> DataFrame:
+    return ex.phrase_lexicon(ex.pair_stage(c.docs))
+
+
+@query
+def collocations(c: Corpus) -> DataFrame:
+    return ex.collocations(ex.pair_stage(c.docs), c.phrases)
+
+
+@query
+def doc_terms_build(c: Corpus) -> DataFrame:
+    return ex.term_rows(c.docs, c.phrases)
+
+
+@query
+def proper_nouns(c: Corpus) -> DataFrame:
+    return c.docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(tx.proper_nouns_of("text"))).alias("term"))
+
+
+@query
+def entity_tagging(c: Corpus) -> DataFrame:
+    return ex.mention_rows(c.docs, c.persons)
+
+
+@query
+def untracked_names(c: Corpus) -> DataFrame:
+    return ex.name_rows(c.docs, c.persons)
+
+
+@query
+def domain_of(c: Corpus) -> DataFrame:
+    return c.docs.select("doc_id", tx.domain_of(F.col("uri")).alias("domain"))
+
+
+@query
+def country_of(c: Corpus) -> DataFrame:
+    return c.docs.select("doc_id", tx.country_of(F.col("domain")).alias("country"))
+
+
+@query
+def truncate_text(c: Corpus) -> DataFrame:
+    return c.docs.select("doc_id", tx.truncate(F.col("text"), 200).alias("text"))
+
+
+@query
+def build_universe(c: Corpus) -> DataFrame:
+    return bd.universe(c, 21).join(c.terms, "term_id").select("source", "kind", "term", "c_t")
+
+
+@query
+def build_scopes(c: Corpus) -> DataFrame:
+    return bd.scopes(c, 21)
+
+
+@query
+def build_person_terms(c: Corpus) -> DataFrame:
+    return bd.person_terms(c, 21).select("days", "source", "person_id", "term", "kind", "c_pt", "c_t", round2(F.col("tone")).alias("tone"), "reach")
+
+
+@query
+def fast_nodes(c: Corpus) -> DataFrame:
+    return rt.routed_nodes(c, bd.person_terms(c, 21), bd.scopes(c, 21), c.person(A), WINDOW, sort="pmi")
+
+
+@query
+def fast_equals_live(c: Corpus) -> DataFrame:
+    """Rows in which the stored and the live map of a person differ: none."""
+    p = c.person(B)
+    fast = tm.nodes(rt.stored_terms(bd.person_terms(c, 21), bd.scopes(c, 21), p, WINDOW), sort="pmi", limit=100)
+    live = tm.graph_nodes(c, p, WINDOW, sort="pmi", limit=100)
+    return fast.exceptAll(live).unionByName(live.exceptAll(fast)).select("term", "kind", "count")
+
+
+@query
+def outlet_terms(c: Corpus) -> DataFrame:
+    return ot.outlet_terms(c, c.person(A), WINDOW)
+
+
+@query
+def outlet_jaccard(c: Corpus) -> DataFrame:
+    return ot.jaccard(ot.outlet_terms(c, c.person(A), WINDOW))
+
+
+@query
+def outlet_neighbors(c: Corpus) -> DataFrame:
+    return ot.neighbours(ot.jaccard(ot.outlet_terms(c, c.person(A), WINDOW))).withColumn("rn", F.col("rn").cast("long"))
+
+
+@query
+def outlet_fields(c: Corpus) -> DataFrame:
+    sets = ot.outlet_terms(c, c.person(A), WINDOW)
+    nodes = sets.select(F.lit(A).alias("person_id"), F.col("domain").alias("node")).distinct()
+    edges = ot.jaccard(sets).select(F.lit(A).alias("person_id"), F.col("a").alias("s"), F.col("b").alias("t"), F.col("similarity").alias("count"))
+    return nw.communities(nodes, edges, ["person_id"])
+
+
+def _kept(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of every person's kept terms of the window."""
+    terms = bd.person_terms(c, 21, top=40).where("source = 'all'").join(c.terms, ["kind", "term"])
+    kept = terms.select("person_id", "term_id", F.concat_ws(":", "kind", "term").alias("node"))
+    docs = in_scope(c.docs, WINDOW).select("doc_id").join(c.doc_persons, "doc_id")
+    return kept.select("person_id", "node"), nw.community_edges(c.doc_terms, docs, kept)
+
+
+@query
+def term_communities(c: Corpus) -> DataFrame:
+    return nw.communities(*_kept(c), ["person_id"])
+
+
+@query
+def community_ranking(c: Corpus) -> DataFrame:
+    return po.community_ranking(nw.communities(*_kept(c), ["person_id"]).where(F.col("person_id") == A))
+
+
+@query
+def bridges(c: Corpus) -> DataFrame:
+    keys = top_keys(c, c.person(A))
+    edges = tm.merged_edges(tm.links(c, mine(c), keys), tm.links(c, mine(c, who=B), keys))
+    return nw.bridges(edges.withColumn("pair", F.lit("a/b")), ["pair"])
+
+
+@query
+def fold_testimony(c: Corpus) -> DataFrame:
+    rows = ot.testimony(c, scores(c), c.person(A)).where("level = 'domain'")
+    return po.fold_testimony(rows).withColumn("score", F.round("score", 6))
+
+
+@query
+def merge_outlets(c: Corpus) -> DataFrame:
+    rows = po.fold_testimony(ot.testimony(c, scores(c), c.person(A)).where("level = 'domain'"))
+    return po.merge_outlets(ot.sources(c, c.person(A), WINDOW).select("domain", "source", "docs"), rows.withColumn("score", F.round("score", 6)))
+
+
+@query
+def testimony_class(c: Corpus) -> DataFrame:
+    rows = ot.testimony(c, scores(c), c.person(A)).where("level = 'domain'")
+    return rows.select("domain", "source", po.testimony_class(F.col("score")).alias("verdict"))
+
+
+@query
+def term_mask(c: Corpus) -> DataFrame:
+    p = c.person(A)
+    rows = ot.term_testimony(c, scores(c), p, WINDOW, top_keys(c, p))
+    own = rows.where("id is null").select(F.col("score").alias("own"))
+    return po.term_mask(rows.where("id is not null").crossJoin(F.broadcast(own)), F.col("own")).select("id", F.round("mask", 6).alias("mask"), "n")
+
+
+@query
+def tone_percentiles(c: Corpus) -> DataFrame:
+    return po.percentiles(c.docs.where("tone is not null"), "tone")
+
+
+@query
+def uri_layers(c: Corpus) -> DataFrame:
+    return ig.layers(c.docs, ARRIVAL).select("uri", "doc_id", F.col("layer").cast("long").alias("layer"))
+
+
+@query
+def merge_longest_text(c: Corpus) -> DataFrame:
+    return ig.merged(c.docs, ARRIVAL).select("uri", "doc_id", "source", "text", "domain", "country", "tone", "arrivals", "enriched")
+
+
+@query
+def reach_max(c: Corpus) -> DataFrame:
+    return ig.merged(c.docs, ARRIVAL).select("uri", *ig.REACH)
+
+
+@query
+def retention_trim(c: Corpus) -> DataFrame:
+    docs = ig.retained(c.docs, 14)
+    return ig.cascade(c.doc_persons, docs)
+
+
+@query
+def tracked_only(c: Corpus) -> DataFrame:
+    return ig.naming_someone(c.docs, c.doc_persons).select("doc_id", "source")
+
+
+@query
+def purge_source(c: Corpus) -> DataFrame:
+    return ig.cascade(c.doc_terms, ig.without_source(c.docs, "gkg"))
+
+
+@query
+def purge_kind(c: Corpus) -> DataFrame:
+    return ig.without_kind(c.docs, "org").select("doc_id", F.size("extra_terms").cast("long").alias("n_extra"))
+
+
+@query
+def orphan_terms(c: Corpus) -> DataFrame:
+    return ig.orphan_terms(c.terms, c.doc_terms)
+
+
+@query
+def backfill(c: Corpus) -> DataFrame:
+    return ig.backfilled(c.docs).select("doc_id", "domain", "country", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def unscored_pairs(c: Corpus) -> DataFrame:
+    done = scores(c).where("doc_id % 3 = 0").withColumn("method", F.lit("stub"))
+    return ex.unscored(c.doc_persons, done, "stub")
+
+
+@query
+def stub_scores(c: Corpus) -> DataFrame:
+    return ex.scored(c.doc_persons, c.docs)
+
+
+@query
+def export_docs(c: Corpus) -> DataFrame:
+    return ex.exported(c.docs, c.doc_persons).select("doc_id", "source", "uri", F.array_join("persons", ",").alias("persons"))
