@@ -1,9 +1,10 @@
 """The top N items of every group, with groups of any size.
 
 Hot-cold split. Exact group counts tell heavy groups from light ones. Light
-groups go through an ordinary window. The rows of a heavy group get a salt of
-their item, are range-partitioned by group and salt, keep the N best of each
-salt, and only those meet in the last window.
+groups go through an ordinary window, whose limit Spark applies to every input
+partition before rows move. The rows of a heavy group get a salt of their
+item, are range-partitioned by group and salt, keep the N best of each salt,
+and only those meet in the last window.
 """
 
 from __future__ import annotations
@@ -26,25 +27,31 @@ def top_n(rows: DataFrame, keys: list[str], item: str, score: str, n: int = 10,
 
     Rows whose item or score is null rank nowhere. An item that stands more
     than once in a group counts once, with its largest score. Null keys form
-    groups as any other value. Groups of more than ``heavy`` items are salted;
+    groups as any other value. Groups of more than ``heavy`` rows are salted;
     there are at most rows / heavy of them. Returns keys, item, score, rank.
+
+    The light window ranks different (score, item) pairs, which can be limited
+    before the shuffle; groups in which an item then stands twice, with two
+    scores, are ranked again by their items.
     """
-    one = rows.select(*keys, item, score).where(F.col(item).isNotNull() & F.col(score).isNotNull())
-    one = one.groupBy(*keys, item).agg(F.max(score).alias(score))
+    rows = rows.select(*keys, item, score).where(F.col(item).isNotNull() & F.col(score).isNotNull())
     order = [F.desc(score), F.asc(item)]
-    hot = (
-        one.groupBy(*keys).count().where(F.col("count") > heavy)
-        .select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("count") / heavy).cast("int").alias("_salts"))
-    )
-    light = one.join(hot, _same(one, hot, keys), "left_anti")
-    light = light.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    hot = rows.groupBy(*keys).count().where(F.col("count") > heavy).select(*named, F.ceil(F.col("count") / heavy).cast("int").alias("_salts"))
+    light = rows.join(hot, _same(rows, hot, keys), "left_anti")
+    pairs = light.withColumn("rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n).distinct()
+    twice = pairs.withColumn("_seen", F.count(F.lit(1)).over(Window.partitionBy(*keys, item))).where("_seen > 1").select(*named).distinct()
+    simple = pairs.join(twice, _same(pairs, twice, keys), "left_anti")
+    again = rows.join(twice, _same(rows, twice, keys), "left_semi").groupBy(*keys, item).agg(F.max(score).alias(score))
+    again = again.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
     salted = (
-        one.join(hot, _same(one, hot, keys)).select(*keys, item, score, F.pmod(F.xxhash64(item), F.col("_salts")).cast("int").alias("_salt"))
-        .repartitionByRange(*keys, "_salt")
+        rows.join(hot, _same(rows, hot, keys)).select(*keys, item, score, F.pmod(F.xxhash64(item), F.col("_salts")).cast("int").alias("_salt"))
+        .repartitionByRange(*keys, "_salt").groupBy(*keys, "_salt", item).agg(F.max(score).alias(score))
     )
     best = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_r") <= n)
     best = best.drop("_r", "_salt").withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
-    return light.select(*keys, item, score, "rank").unionByName(best.select(*keys, item, score, "rank"))
+    out = [*keys, item, score, "rank"]
+    return simple.select(*out).unionByName(again.select(*out)).unionByName(best.select(*out))
 
 
 KEYS = ["days", "source", "person_id", "kind"]
