@@ -32,6 +32,7 @@ ARRIVAL = ["collected_at", "doc_id"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+OF_CORPUS: dict[str, Callable[[Corpus], DataFrame]] = {}
 ORACLES: dict[str, str] = SQL
 
 
@@ -41,7 +42,7 @@ def query(f: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return f(corpus(spark, folder))
 
-    QUERIES[f.__name__] = run
+    QUERIES[f.__name__], OF_CORPUS[f.__name__] = run, f
     return f
 
 

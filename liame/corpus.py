@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +35,11 @@ class Corpus:
     candidates: DataFrame
     phrases: DataFrame
 
+    def persisted(self) -> Corpus:
+        """The same relations, kept by the executors after their first use; for many questions to tables that fit."""
+        kept = {f.name: getattr(self, f.name).persist() for f in fields(self)}
+        return Corpus(**kept)
+
     def person(self, person_id: str) -> Person:
         row = self.persons.where(F.col("id") == person_id).select("id", "name", "aliases").first()
         if row is None:

@@ -150,11 +150,6 @@ f as (select * from o where k = 1),
 l as (select uri, arg_min(text, (-length(text), k)) as text, max(length(text)) as longest, count(*) as arrivals, arg_min(domain, k) filter (where domain is not null) as domain,
   arg_min(country, k) filter (where country is not null) as country, arg_min(tone, k) filter (where tone is not null) as tone,
   max(reach_likes) as reach_likes, max(reach_reposts) as reach_reposts, max(reach_replies) as reach_replies, max(reach_quotes) as reach_quotes from o group by 1)"""
-STOP = (
-    "a o e os as um uma uns umas de do da dos das em no na nos nas por para com sem sob sobre entre ate apos ante contra desde perante que quem qual quais onde quando como porque pois mas porem todavia contudo entao logo nem ou seja "
-)
-
-
 def _stopwords() -> str:
     from liame.functions.text import STOPWORDS
 
@@ -252,6 +247,7 @@ select term, kind, xa.count as a_count, {r2('xa.pmi')} as a_pmi, {r2('xa.tone')}
     "purge_source": f"with {BASE} select doc_id, term_id from t where doc_id in (select doc_id from docs where source is distinct from 'gkg')",
     "purge_kind": "select doc_id, len(list_filter(extra_terms, lambda x: x.kind is distinct from 'org')) as n_extra from docs",
     "orphan_terms": f"with {BASE} select term_id, kind, term from v where term_id not in (select term_id from t)",
+    "backfill": "select doc_id, coalesce(domain, case when source <> 'bluesky' then lower(regexp_replace(regexp_extract(uri, '^[a-z]+://([^/?#]+)', 1), '^www\\.', '')) end) as domain, coalesce(country, case when coalesce(domain, case when source <> 'bluesky' then lower(regexp_extract(uri, '^[a-z]+://([^/?#]+)', 1)) end) like '%.pt' then 'pt' when coalesce(domain, case when source <> 'bluesky' then lower(regexp_extract(uri, '^[a-z]+://([^/?#]+)', 1)) end) like '%.br' then 'br' end) as country, least(length(text), 20000)::bigint as n_chars from docs",
     "unscored_pairs": f"with {BASE} select doc_id, person_id from p where doc_id % 3 <> 0",
     "export_docs": f"with {BASE}, g as (select doc_id, string_agg(person_id, ',' order by person_id) as persons from p group by 1) select doc_id, source, uri, coalesce(persons, '') as persons from docs left join g using (doc_id)",
 }
