@@ -1,4 +1,4 @@
-"""Connected components by smallest labels with pointer jumping."""
+"""Connected components by repeated contraction towards the smallest neighbour."""
 
 from __future__ import annotations
 
@@ -12,22 +12,25 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) for every row of ``nodes`` (node); component is the smallest node of it.
 
     ``edges`` has (a, b), in either direction, repeated or not; edges to
-    strangers of ``nodes`` and edges with a null join nothing. Each round takes
-    the smallest label among the neighbours and then that label's own label;
-    the rounds grow with the logarithm of a component's length in practice.
-    Labels lie in checkpoint files, so an executor's loss costs one round.
+    strangers of ``nodes`` and edges with a null join nothing. Each round every
+    vertex goes to its smallest neighbour if that is smaller, that one's choice
+    is followed twice, and the edges between what is left are the next round's
+    graph; it shrinks by a constant factor in expectation, so the rounds grow
+    with the logarithm of the graph. Edges and labels lie in checkpoint files,
+    so an executor's loss costs one round.
     """
-    nodes = nodes.select("node").where("node is not null").distinct()
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut(both)
-    labels = nodes.withColumn("component", F.col("node"))
-    near = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("node")).agg(F.min("component").alias("least"))
-    labels = cut(nodes.join(near, "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component")))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("node")).agg(F.min("component").alias("least"))
-        new = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("least", "component")).alias("component"))
-        ahead = labels.select(F.col("node").alias("component"), F.col("component").alias("ahead"))
-        new = cut(new.join(ahead, "component", "left").select("node", "old", F.least("component", F.coalesce("ahead", "component")).alias("component")))
-        if new.where("old <> component").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+    labels = nodes.where("node is not null").select("node").distinct().withColumn("component", F.col("node"))
+    known = labels.select("node")
+    edges = edges.where("a <> b").join(known.withColumnRenamed("node", "a"), "a", "left_semi").join(known.withColumnRenamed("node", "b"), "b", "left_semi")
+    edges = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(labels)
+    while not edges.isEmpty():
+        to = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("p"))
+        for _ in range(2):
+            ahead = to.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            to = to.join(ahead, "p").select("v", F.col("q").alias("p"))
+        to = cut(to)
+        labels = cut(labels.join(to, labels["component"] == to["v"], "left").select("node", F.coalesce("p", "component").alias("component")))
+        a, b = to.select(F.col("v").alias("a"), F.col("p").alias("x")), to.select(F.col("v").alias("b"), F.col("p").alias("y"))
+        edges = cut(edges.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    return labels

@@ -46,7 +46,7 @@ def _unaccented() -> tuple[str, str]:
 
 def one_form(text: Column) -> Column:
     """``text`` with look-alikes, ligatures, spaces and line ends in one form and without invisible characters."""
-    out = F.regexp_replace(text, "(?<=[\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}\\x{FE0F}])\u200d(?=[\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}])", JOINED)
+    out = F.regexp_replace(text, "([\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}\\x{FE0F}])\u200d(?=[\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}])", "$1" + JOINED)
     out = F.translate(out, _one_to_one()[0] + INVISIBLE + "\u200d", _one_to_one()[1])
     for a, b in LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
