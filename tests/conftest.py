@@ -12,7 +12,8 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g")
+        .config("spark.sql.ui.retainedExecutions", "5").config("spark.ui.retainedJobs", "5").config("spark.ui.retainedStages", "5").config("spark.ui.retainedTasks", "50").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
