@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liame.functions import text as tx
+from liame.plans.parallel import spread
 
 SCORERS: dict[str, Callable[[str, str], float | None]] = {}
 
@@ -41,7 +42,7 @@ def word_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def pair_stage(docs: DataFrame) -> DataFrame:
     """(doc_id, w1, w2): one row per word occurrence; w2 null where no phrase may begin."""
-    return docs.where("text is not null").select("doc_id", F.inline(tx.word_pairs_of("text")))
+    return spread(docs.where("text is not null").select("doc_id", "text")).select("doc_id", F.inline(tx.word_pairs_of("text")))
 
 
 def phrase_lexicon(stage: DataFrame, least: int = 5, share: float = 0.35, names: list[str] | None = None) -> DataFrame:
@@ -84,7 +85,7 @@ def term_rows(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "kind", "term"])
 
     extra = F.col("extra_terms") if "extra_terms" in docs.columns else F.array().cast("array<struct<term:string,kind:string>>")
-    return docs.where("text is not null").select("doc_id", "text", extra.alias("extra")).mapInPandas(extract, "doc_id long, kind string, term string")
+    return spread(docs.where("text is not null").select("doc_id", "text", extra.alias("extra"))).mapInPandas(extract, "doc_id long, kind string, term string")
 
 
 def dictionary(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +108,7 @@ def mention_rows(docs: DataFrame, persons: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([(d, p) for d, s in zip(b["doc_id"], b["text"]) for p in sorted(finder.spans(s))], columns=["doc_id", "person_id"])
 
-    return docs.where("text is not null").select("doc_id", "text").mapInPandas(tag, "doc_id long, person_id string")
+    return spread(docs.where("text is not null").select("doc_id", "text")).mapInPandas(tag, "doc_id long, person_id string")
 
 
 def name_rows(docs: DataFrame, persons: DataFrame) -> DataFrame:
