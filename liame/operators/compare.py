@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from liame.corpus import Corpus, Person
 from liame.functions.scoring import is_name, rank, round2
 from liame.operators.scope import Scope, in_scope, one_of
-from liame.operators.terms import scored_terms
+from liame.operators.terms import scored_side, scored_terms, sided_counts
 
 
 def _of_kind(rows: DataFrame, kinds: tuple[str, ...] | None) -> DataFrame:
@@ -37,7 +37,8 @@ def _looked_up(keys: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 def compare(c: Corpus, a: Person, b: Person, scope: Scope, kinds: tuple[str, ...] | None = None, limit: int = 40, leans: dict[str, str] | None = None) -> DataFrame:
     """The union of both persons' best terms with figures of both, in one universe."""
     docs = in_scope(c.docs, scope, leans)
-    sa, sb = (_of_kind(scored_terms(c, docs, p, p.tokens), kinds) for p in (a, b))
+    counts, n = sided_counts(c, docs, [a, b])
+    sa, sb = (_of_kind(scored_side(c, counts, n, i, p.tokens), kinds) for i, p in enumerate((a, b)))
     rows = _looked_up(key_union(_best(sa, limit) + _best(sb, limit)), sa, sb)
     return rows.withColumn("is_name_a", is_name(F.col("term"), a.tokens)).withColumn("is_name_b", is_name(F.col("term"), b.tokens))
 

@@ -33,14 +33,38 @@ def totals(c: Corpus, docs: DataFrame, person: Person) -> DataFrame:
     return flagged.agg(F.count(F.lit(1)).alias("docs"), F.count("anyone").alias("tracked"), F.count("mine").alias("about"))
 
 
+def sided_counts(c: Corpus, docs: DataFrame, persons: list[Person]) -> tuple[DataFrame, DataFrame]:
+    """Counts per term over the tracked documents, and among them over those about each person, in one pass.
+
+    Returns (term_id, c_t, c_0, tone_0, reach_0, c_1, ...) and the one-row
+    totals (tracked, n_0, n_1, ...).
+    """
+    flags = [F.coalesce(F.max(F.col("person_id") == p.id), F.lit(False)).alias(f"is_{i}") for i, p in enumerate(persons)]
+    marked = docs.select("doc_id", "tone", "reach_reposts").join(c.doc_persons.groupBy("doc_id").agg(*flags), "doc_id")
+    sides, sums = [], []
+    for i in range(len(persons)):
+        mine = F.col(f"is_{i}")
+        sides += [
+            F.count_if(mine).alias(f"c_{i}"), F.avg(F.when(mine, F.col("tone"))).alias(f"tone_{i}"), F.sum(F.when(mine, F.col("reach_reposts"))).alias(f"reach_{i}"),
+        ]
+        sums.append(F.count_if(mine).alias(f"n_{i}"))
+    counts = c.doc_terms.join(marked, "doc_id").groupBy("term_id").agg(F.count(F.lit(1)).alias("c_t"), *sides)
+    return counts, marked.agg(F.count(F.lit(1)).alias("tracked"), *sums)
+
+
+def scored_side(c: Corpus, counts: DataFrame, n: DataFrame, i: int, exclude: list[str] | None) -> DataFrame:
+    """One person's terms out of ``sided_counts``: count, tone, reach, raw pmi and the number of documents about the person."""
+    rows = counts.where(F.col(f"c_{i}") > 0).join(c.terms, "term_id")
+    rows = rows.where(~is_name(F.col("term"), exclude)) if exclude else rows
+    return rows.crossJoin(F.broadcast(n)).select(
+        "term", "kind", F.col(f"c_{i}").alias("count"), F.col(f"tone_{i}").alias("tone"), F.col(f"reach_{i}").alias("reach"),
+        pmi(F.col(f"c_{i}"), F.col("tracked"), F.col(f"n_{i}"), F.col("c_t")).alias("pmi"), F.col(f"n_{i}").alias("about"),
+    )
+
+
 def scored_terms(c: Corpus, docs: DataFrame, person: Person, exclude: list[str] | None) -> DataFrame:
     """Every term of the person's documents with count, tone, reach, raw pmi and the number of documents about the person."""
-    n = F.broadcast(totals(c, docs, person))
-    return (
-        term_counts(c, about(c, docs, person.id), exclude)
-        .join(term_totals(c, tracked(c, docs)), "term_id").crossJoin(n)
-        .select("term", "kind", F.col("c_pt").alias("count"), "tone", "reach", pmi(F.col("c_pt"), F.col("tracked"), F.col("about"), F.col("c_t")).alias("pmi"), "about")
-    )
+    return scored_side(c, *sided_counts(c, docs, [person]), 0, exclude)
 
 
 def nodes(scored: DataFrame, sort: str = "count", kinds: tuple[str, ...] | None = None, least: int = 2, limit: int = 40) -> DataFrame:
