@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liame.plans.parallel import spread
 from liame.sources.tables import load
 
 WORD = re.compile(r"[^\W_]+")
@@ -172,7 +173,7 @@ def leaked(documents: DataFrame, items: DataFrame, words: int = 12, passage: int
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_runs", "longest"])
 
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = texts.mapInPandas(search, "doc_id long, item_id long, n_runs long, longest long")
+    found = spread(texts).mapInPandas(search, "doc_id long, item_id long, n_runs long, longest long")
     return found.groupBy("doc_id", "item_id").agg(F.max("n_runs").alias("n_runs"), F.max("longest").alias("longest"))
 
 
