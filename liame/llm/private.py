@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liame.plans.parallel import spread
 from liame.sources.tables import load
 
 KINDS = ("email", "id_number", "phone", "address", "name")
@@ -241,7 +242,7 @@ def _tracked(persons: DataFrame) -> set[str]:
 
 def _finder(documents: DataFrame, persons: DataFrame):
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return texts, documents.sparkSession.sparkContext.broadcast((_tracked(persons), _starters(texts)))
+    return spread(texts), documents.sparkSession.sparkContext.broadcast((_tracked(persons), _starters(texts)))
 
 
 def personal_data(documents: DataFrame, persons: DataFrame) -> DataFrame:
