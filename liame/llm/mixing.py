@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liame.plans.lineage import cut
+from liame.plans.parallel import spread
 from liame.sources.tables import load
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -47,7 +48,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": sizes})
 
     rows = documents.where("doc_id is not null and text is not null and source is not null").select("doc_id", "source", "text")
-    return rows.mapInPandas(count, "doc_id long, source string, tokens long")
+    return spread(rows).mapInPandas(count, "doc_id long, source string, tokens long")
 
 
 def plan_quotas(have: dict[str, int], targets: dict[str, tuple[float, int]]) -> tuple[float, dict[str, float]]:
