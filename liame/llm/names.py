@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from liame.llm.components import connected_components
 from liame.llm.visual import LOOKS_LIKE
 from liame.plans.lineage import cut
+from liame.plans.parallel import tasks
 from liame.sources.tables import load
 
 COMMON = 0.008  # share of spellings from which on a word is a given name or a kind of organisation
@@ -217,7 +218,7 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
             rows = [(f, q, t, _standing(f.split()), k) for f, q, t in zip(batch["form"], batch["freq"], batch["tracked"]) for k in keys(f.split())]
             yield pd.DataFrame(rows, columns=["form", "freq", "tracked", "standing", "key"])
 
-    rows = cut(forms.mapInPandas(keyed, "form string, freq long, tracked boolean, standing int, key string"))
+    rows = cut(forms.repartition(tasks(spark)).mapInPandas(keyed, "form string, freq long, tracked boolean, standing int, key string"))
     rank = F.struct(F.col("tracked"), F.col("standing"), F.col("freq"), F.col("form"))
     v = rows.select("key", F.col("form").alias("v"), F.col("freq").alias("v_freq"), rank.alias("v_rank"))
     c = rows.where("standing > 1").select("key", F.col("form").alias("c"), F.col("freq").alias("c_freq"), F.col("tracked").alias("c_tracked"), rank.alias("c_rank"))
@@ -234,7 +235,7 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
                         out.append((row.v, row.c, x + prior))
             yield pd.DataFrame(out, columns=["v", "c", "score"])
 
-    likely = cut(pairs.mapInPandas(scored, "v string, c string, score double"))
+    likely = cut(pairs.repartition(tasks(spark)).mapInPandas(scored, "v string, c string, score double"))
     best = likely.groupBy("v").agg(F.max(F.struct("score", "c")).alias("top")).select("v", F.col("top.c").alias("best"), F.col("top.score").alias("best_score"))
 
     def rivals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
