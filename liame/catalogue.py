@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from liame.clock import local_day
 from liame.corpus import Corpus, Person, corpus
 from liame.functions import text as tx
+from liame.functions import windows as wn
 from liame.functions.scoring import round2
 from liame.operators import compare as cp
 from liame.operators import documents as dc
@@ -609,6 +610,16 @@ def stub_scores(c: Corpus) -> DataFrame:
     return ex.scored(c.doc_persons, c.docs)
 
 
+@query
+def token_sizes(c: Corpus) -> DataFrame:
+    return wn.token_sizes(c.docs)
+
+
+@query
+def scored_texts(c: Corpus) -> DataFrame:
+    return wn.scored_texts(c.doc_persons, c.docs, c.persons, 64)
+
+
 @query
 def export_docs(c: Corpus) -> DataFrame:
     return ex.exported(c.docs, c.doc_persons).select("doc_id", "source", "uri", F.array_join("persons", ",").alias("persons"))
