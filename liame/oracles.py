@@ -184,7 +184,7 @@ SQL: dict[str, str] = {
     "testimony_grouping_sets": f"{TESTIMONY} select level, source, domain, score, n from g",
     "term_testimony": f"{TERM_TESTIMONY} select * from g",
     "candidates": f"{CANDIDATES} select * from g",
-    "candidate_samples": f"{CANDIDATES}, s as (select name, doc_id, source, text, row_number() over (partition by name order by published_at desc, doc_id desc) as rn from c join docs using (doc_id) where name in (select name from g) and {since(7)}) select name, rn, doc_id, source, text from s where rn <= 3",
+    "candidate_samples": f"{CANDIDATES}, s as (select name, doc_id, source, text, (row_number() over (partition by name order by published_at desc, doc_id desc))::int as rn from c join docs using (doc_id) where name in (select name from g) and {since(7)}) select name, rn, doc_id, source, text from s where rn <= 3",
     "docs_page": f"{MAP} select doc_id, source, domain, published_at, text, uri, tone from m order by published_at desc, doc_id desc limit 50 offset 50",
     "docs_count": f"{MAP} select count(*) as total from m",
     "docs_by_term": f"{MAP} select doc_id, source, domain, published_at, text, uri, tone from m where doc_id in (select doc_id from t join v using (term_id) where term = 'governo' and kind in ('word', 'phrase')) order by published_at desc, doc_id desc limit 50",
