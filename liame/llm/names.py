@@ -39,10 +39,10 @@ LATIN = {ord(x[0]): x[1] for x in LOOKS_LIKE}
 NICKNAMES = """
 jose: ze zeca zezinho juca; francisco: chico chiquinho fran kiko; antonio: tonho toninho tonico tom; joaquim: quincas quim joca;
 raimundo: mundico mundinho rai; rodrigo: digo drigo rod; conceicao: ceica sao; roberto: beto betinho rob; eduardo: dudu du edu duda;
-thereza: teca tete tere; terezinha: teca tete tere zinha; sebastiao: tiao tiaozinho; leonardo: leo leozinho; mariana: mari nana;
+thereza: teca tete tere tereza; terezinha: teca tete tere zinha; sebastiao: tiao tiaozinho; leonardo: leo leozinho; mariana: mari nana;
 cristina: cris tina; carlos: carlinhos caca cacau; leticia: lele le leti; fernando: nando fe fernandinho; manuel: maneco mane manu;
 ana: aninha nana; beatriz: bia bea; isabel: bel isa belinha; luciana: lu lulu luci; helena: lena leninha; gabriela: gabi gaby;
-frederico: fred fredi; gustavo: guga gu gus; philippe: lipe felipe phil; walter: valtinho vavau; otavio: tavinho tavo tata;
+frederico: fred fredi; gustavo: guga gu gus; philippe: lipe felipe filipe phil; walter: valtinho vavau; otavio: tavinho tavo tata;
 paulo: paulinho; vicente: vicentinho vice cente; debora: deb debinha dea; patricia: pati paty tricia; sonia: soninha so;
 livia: livinha liv; ines: nezinha nene; ruth: rute rutinha; tomas: tomazinho; cicero: cico cicinho; joao: joca jo juca; maria: mia;
 pedro: pedrinho; luis: lula luisinho; antonia: tonia toninha; francisca: chica; jorge: jorginho; ricardo: cacá; alexandre: xande ale
@@ -55,7 +55,7 @@ def fold(name: str) -> str:
 
 def sound(word: str) -> str:
     """A word without the spelling differences that can't be heard."""
-    for a, b in (("ph", "f"), ("th", "t"), ("y", "i"), ("k", "c"), ("w", "v"), ("z", "s"), ("q", "c")):
+    for a, b in (("y", "i"), ("k", "c"), ("w", "v"), ("z", "s"), ("q", "c")):
         word = word.replace(a, b)
     return word
 
@@ -105,7 +105,7 @@ def _word(v: str, c: str, given: bool, either: bool = False) -> float:
     if v == c:
         return EXACT
     if len(v) == 1:
-        return INITIAL if c[0] == v or v == "p" and c[0] == "f" else IMPOSSIBLE
+        return INITIAL if c[0] == v else IMPOSSIBLE
     if given and c in FULL.get(v, ()):
         return NICK
     if len(v) >= 3 and len(c) > len(v) + 1 and c.startswith(v):
@@ -157,7 +157,7 @@ def keys(tokens: list[str]) -> set[str]:
     out = set()
     if len(tokens) > 1:
         last, given = tokens[-1], tokens[0]
-        letters = {given[0], *(n[0] for n in FULL.get(given, ())), *("p" for _ in given[:1] if given[0] == "f")}
+        letters = {given[0], *(n[0] for n in FULL.get(given, ()))}
         for piece in {last, *(last[:i] + last[i + 1 :] for i in range(len(last)))}:
             out |= {f"s:{piece}:{x}" for x in letters}
         if len(tokens) > 2:
