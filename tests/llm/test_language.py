@@ -90,6 +90,20 @@ def test_cut_copy_is_found_by_alignment(spark):
     assert got == {1: None, 2: "copy", 3: None, 4: "copy"}
 
 
+@pytest.mark.parametrize("heavy", [2000, 7])
+def test_cut_copy_in_a_hot_group_of_near_copies(spark, monkeypatch, heavy):
+    import random
+
+    monkeypatch.setattr(tr, "HEAVY", heavy)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    article = [word() for _ in range(404)]
+    rows = [(1, [], " ".join(article) + "."), (2, [], " ".join(article[:343]) + " " + article[343][:4])]
+    rows += [(10 + i, [], " ".join(article + [word() for _ in range(rng.randint(120, 240))]) + ".") for i in range(150)]
+    base = spark.createDataFrame(rows, "doc_id long, site_lines array<long>, text string")
+    assert [r["doc_id"] for r in tr._cut_copies(base).collect()] == [2]
+
+
 def test_checksums():
     assert pv.luhn("4539578763621486") and not pv.luhn("4539578763621487") and pv.mod97("GB82WEST12345698765432") and not pv.mod97("GB82WEST12345698765433")
     assert pv.checked("529.982.247-25") and not pv.checked("529.982.247-21") and not pv.checked("11111111111")
