@@ -28,7 +28,7 @@ from liame.sources.tables import load
 COMMON = 0.008  # share of spellings from which on a word is a given name or a kind of organisation
 TRACKED = 20.0  # documents by which a known spelling's prior is raised
 # Logarithms of the likelihoods of what a typist does, and of an unrelated name looking so alike.
-EXACT, TYPO, INITIAL, NICK, SHORT, DROPPED, ADDED, JOINED, UNRELATED = 0.0, -3.0, -3.0, -2.0, -2.0, -2.0, -4.0, -2.5, -12.0
+EXACT, TYPO, INITIAL, NICK, SHORT, DROPPED, ADDED, JOINED, REORDERED, UNRELATED = 0.0, -3.0, -3.0, -2.0, -2.0, -2.0, -4.0, -2.5, -4.0, -12.0
 IMPOSSIBLE = -99.0
 MARGIN = 1.5  # by how much the best explanation must beat another person's
 TITLES = set("dr dra dep sen gov ver prof profa sr sra min pres des eng adv rev pe".split())
@@ -147,6 +147,20 @@ def likelihood(v: list[str], c: list[str], either: bool = False) -> float:
     return max(best, IMPOSSIBLE)
 
 
+def readings(tokens: list[str]) -> list[list[str]]:
+    """The orders in which the words of a form may be meant: as they stand, surname moved last, surname moved first.
+
+    ``parse`` undoes a reordering only where a common given name tells it.
+    """
+    return [tokens, tokens[1:] + tokens[:1], tokens[-1:] + tokens[:-1]] if len(tokens) > 2 else [tokens]
+
+
+def any_order(v: list[str], c: list[str], either: bool = False) -> float:
+    """``likelihood`` of the best reading of ``v``; a moved surname costs REORDERED."""
+    own, *moved = readings(v)
+    return max(IMPOSSIBLE, likelihood(own, c, either), *(likelihood(r, c, either) + REORDERED for r in moved))
+
+
 def keys(tokens: list[str]) -> set[str]:
     """Join keys: two forms that ``likelihood`` connects share one.
 
@@ -195,7 +209,9 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
     known to denote the same. Null and blank names, and names without letters
     or digits, get no row; repeated rows count once, and a name's frequency is
     its number of distinct records. Names of relatives and namesakes stay
-    apart, for another given or middle name has no likelihood; a form that two
+    apart, for another given or middle name has no likelihood; names of three
+    words or more may have their surname first, however rare the given name
+    is; a form that two
     persons explain about equally well is attached to neither.
     """
     spark = spellings.sparkSession
@@ -215,20 +231,24 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(f, q, t, _standing(f.split()), k) for f, q, t in zip(batch["form"], batch["freq"], batch["tracked"]) for k in keys(f.split())]
-            yield pd.DataFrame(rows, columns=["form", "freq", "tracked", "standing", "key"])
-
-    rows = cut(forms.repartition(tasks(spark)).mapInPandas(keyed, "form string, freq long, tracked boolean, standing int, key string"))
+            rows = []
+            for f, q, t in zip(batch["form"], batch["freq"], batch["tracked"]):
+                own, *moved = (keys(r) for r in readings(f.split()))
+                standing = _standing(f.split())
+                rows += [(f, q, t, standing, k, k in own) for k in own.union(*moved)]
+            yield pd.DataFrame(rows, columns=["form", "freq", "tracked", "standing", "key", "own"])
+
+    rows = cut(forms.repartition(tasks(spark)).mapInPandas(keyed, "form string, freq long, tracked boolean, standing int, key string, own boolean"))
     rank = F.struct(F.col("tracked"), F.col("standing"), F.col("freq"), F.col("form"))
     v = rows.select("key", F.col("form").alias("v"), F.col("freq").alias("v_freq"), rank.alias("v_rank"))
-    c = rows.where("standing > 1").select("key", F.col("form").alias("c"), F.col("freq").alias("c_freq"), F.col("tracked").alias("c_tracked"), rank.alias("c_rank"))
+    c = rows.where("standing > 1 and own").select("key", F.col("form").alias("c"), F.col("freq").alias("c_freq"), F.col("tracked").alias("c_tracked"), rank.alias("c_rank"))
     pairs = v.join(c, "key").where("v_rank < c_rank").select("v", "v_freq", "c", "c_freq", "c_tracked").distinct()
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                x = likelihood(row.v.split(), row.c.split())
+                x = any_order(row.v.split(), row.c.split())
                 if x > IMPOSSIBLE:
                     prior = log(1 + row.c_freq + TRACKED * row.c_tracked)
                     if x + prior - log(1 + row.v_freq) > UNRELATED:
@@ -240,7 +260,7 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
 
     def rivals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            other = [max(likelihood(a.split(), b.split(), True), likelihood(b.split(), a.split(), True)) <= IMPOSSIBLE for a, b in zip(batch["c"], batch["best"])]
+            other = [max(any_order(a.split(), b.split(), True), any_order(b.split(), a.split(), True)) <= IMPOSSIBLE for a, b in zip(batch["c"], batch["best"])]
             yield batch.loc[other, ["v"]]
 
     doubtful = likely.join(best, "v").where((F.col("c") != F.col("best")) & (F.col("score") > F.col("best_score") - MARGIN)).select("v", "c", "best").mapInPandas(rivals, "v string").distinct()

@@ -52,6 +52,19 @@ def test_attribution(spark):
     assert len(one) == 1 and got["walter vivedim nhisubuta"] not in one and got["x. nhisubuta"] not in one and None not in got and "" not in got
 
 
+def test_surname_first_with_a_rare_given_name(spark):
+    import random
+
+    rng = random.Random(4)
+    names = ["joana " + " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(2)) for _ in range(400)]
+    turned = [("gustavo vevorel trisuceri", "trisuceri gustavo vevorel"), ("leonardo giginar brizudovu", "brizudovu leonardo giginar")]
+    typed = [(i, n) for i, n in enumerate(names)] + [(100 + 10 * i + j, n) for i, pair in enumerate(turned) for j, n in enumerate([pair[0]] * 3 + [pair[1]])]
+    typed += [(200, "trisuceri ricardo vevorel"), (201, "ricardo vevorel trisuceri"), (202, "ricardo vevorel trisuceri")]
+    got = {r["name"]: r["entity"] for r in nm.attribute(spark.createDataFrame(typed, "record long, name string"), spark.createDataFrame([], "id string, name string")).collect()}
+    assert all(got[a] == got[b] for a, b in turned) and got["trisuceri ricardo vevorel"] == got["ricardo vevorel trisuceri"] != got[turned[0][0]]
+    assert len({got[n] for n in names}) == len(set(names))
+
+
 def test_attribution_of_nothing(spark):
     empty = spark.createDataFrame([], "record long, name string"), spark.createDataFrame([], "id string, name string")
     assert nm.attribute(*empty).count() == 0
