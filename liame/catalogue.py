@@ -24,6 +24,7 @@ from liame.operators.scope import Scope, about, in_scope, in_week, on_day, track
 from liame.oracles import SQL
 from liame.plans import build as bd
 from liame.plans import router as rt
+from liame.plans.lineage import cut
 from liame.streaming import ingest as ig
 
 A, B = "jose-nhusabise", "frederico-vivedim-nhisubuta"
@@ -497,22 +498,31 @@ def outlet_fields(c: Corpus) -> DataFrame:
     return nw.communities(nodes, edges, ["person_id"])
 
 
+GRAPH = ("days", "source", "person_id")
+
+
 def _kept(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of every person's kept terms of the window."""
-    terms = bd.person_terms(c, 21, top=40).where("source = 'all'").join(c.terms, ["kind", "term"])
-    kept = terms.select("person_id", "term_id", F.concat_ws(":", "kind", "term").alias("node"))
-    docs = in_scope(c.docs, WINDOW).select("doc_id").join(c.doc_persons, "doc_id")
-    return kept.select("person_id", "node"), nw.community_edges(c.doc_terms, docs, kept)
+    """Nodes and edges of the kept terms of every window, source and person."""
+    kept, docs = None, None
+    for days in bd.DAYS:
+        terms = bd.person_terms(c, days).join(c.terms, ["kind", "term"]).select(*GRAPH, "term_id", F.concat_ws(":", "kind", "term").alias("node"))
+        named = in_scope(c.docs, Scope(days)).select("doc_id", "source").join(c.doc_persons, "doc_id")
+        named = named.select("doc_id", F.lit(days).cast("long").alias("days"), F.explode(F.array("source", F.lit("all"))).alias("source"), "person_id")
+        kept, docs = (kept.unionByName(terms), docs.unionByName(named)) if kept is not None else (terms, named)
+    kept = cut(kept)
+    return kept.select(*GRAPH, "node"), nw.community_edges(c.doc_terms, docs, kept, GRAPH)
 
 
 @query
 def term_communities(c: Corpus) -> DataFrame:
-    return nw.communities(*_kept(c), ["person_id"])
+    return nw.communities(*_kept(c), [*GRAPH])
 
 
 @query
 def community_ranking(c: Corpus) -> DataFrame:
-    return po.community_ranking(nw.communities(*_kept(c), ["person_id"]).where(F.col("person_id") == A))
+    one = (F.col("days") == WINDOW.days) & (F.col("source") == "all") & (F.col("person_id") == A)
+    nodes, edges = (x.where(one) for x in _kept(c))
+    return po.community_ranking(nw.communities(nodes, edges, [*GRAPH]))
 
 
 @query

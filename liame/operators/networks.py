@@ -1,7 +1,7 @@
 """Communities and bridges of small graphs, many graphs at a time.
 
-A graph is what one person, source and window keeps: a few hundred nodes by
-construction of the kept terms. Graphs are spread over the cluster by their
+A graph is what one person, source and window keeps: some thousand nodes at
+most by construction of the kept terms. Graphs are spread over the cluster by their
 key; each is solved in one Arrow-batched call.
 """
 
@@ -136,13 +136,13 @@ def bridges(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.select(*keys, "s", "t").groupBy(*keys).applyInPandas(solve, schema)
 
 
-def community_edges(doc_terms: DataFrame, docs: DataFrame, kept: DataFrame, least: int = 2) -> DataFrame:
-    """(person_id, s, t, count): co-occurrence of each person's kept terms, all persons at once.
+def community_edges(doc_terms: DataFrame, docs: DataFrame, kept: DataFrame, keys: tuple[str, ...] = ("person_id",), least: int = 2) -> DataFrame:
+    """(keys, s, t, count): co-occurrence of the kept terms of each graph, all graphs at once.
 
-    ``doc_terms`` (doc_id, term_id), ``docs`` (doc_id, person_id), ``kept``
-    (person_id, term_id, node).
+    ``doc_terms`` (doc_id, term_id), ``docs`` (doc_id, keys), ``kept``
+    (keys, term_id, node).
     """
-    hits = docs.join(doc_terms, "doc_id").join(kept, ["person_id", "term_id"]).select("person_id", "doc_id", "node")
-    a, b = hits.select("person_id", "doc_id", F.col("node").alias("s")), hits.select("person_id", "doc_id", F.col("node").alias("t"))
-    pairs = a.join(b, ["person_id", "doc_id"]).where("s < t")
-    return pairs.groupBy("person_id", "s", "t").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
+    hits = docs.join(doc_terms, "doc_id").join(kept, [*keys, "term_id"]).select(*keys, "doc_id", "node")
+    a, b = hits.withColumnRenamed("node", "s"), hits.withColumnRenamed("node", "t")
+    pairs = a.join(b, [*keys, "doc_id"]).where("s < t")
+    return pairs.groupBy(*keys, "s", "t").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)

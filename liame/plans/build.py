@@ -16,6 +16,7 @@ from liame.functions.text import folded
 from liame.operators.scope import Scope, in_scope, tracked
 
 SOURCES = ("bluesky", "camara", "gdelt", "gkg", "gnews", "juridico", "nicho", "oficial", "rss", "senado")
+DAYS = (7, 21)
 LEAST = (1, 2, 3, 5)
 TOP = 200
 
