@@ -498,6 +498,30 @@ def outlet_fields(c: Corpus) -> DataFrame:
     return nw.communities(nodes, edges, ["person_id"])
 
 
+OUTLETS = ("days", "person_id")
+
+
+@query
+def build_outlet_terms(c: Corpus) -> DataFrame:
+    """Of every person in both windows, as the next two; ``outlet_terms`` and its kin are the request for one."""
+    first, second = (bd.outlet_terms(c, days) for days in bd.DAYS)
+    return first.unionByName(second)
+
+
+@query
+def build_outlet_neighbors(c: Corpus) -> DataFrame:
+    edges = ot.jaccard(cut(build_outlet_terms(c)), OUTLETS)
+    return ot.neighbours(edges, keys=OUTLETS).withColumn("rn", F.col("rn").cast("long"))
+
+
+@query
+def build_outlet_fields(c: Corpus) -> DataFrame:
+    sets = cut(build_outlet_terms(c))
+    nodes = sets.select(*OUTLETS, F.col("domain").alias("node")).distinct()
+    edges = ot.jaccard(sets, OUTLETS).select(*OUTLETS, F.col("a").alias("s"), F.col("b").alias("t"), F.col("similarity").alias("count"))
+    return nw.communities(nodes, edges, [*OUTLETS])
+
+
 GRAPH = ("days", "source", "person_id")
 
 

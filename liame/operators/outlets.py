@@ -89,17 +89,17 @@ def outlet_terms(c: Corpus, person: Person, scope: Scope, top: int = 40, floor:
     return ranked.where(F.col("rn") <= top).select("domain", "kind", "term", "c_pt")
 
 
-def jaccard(sets: DataFrame) -> DataFrame:
-    """(a, b, similarity) of outlets that share a term, a before b; ``sets`` has distinct (domain, kind, term)."""
-    sizes = sets.groupBy("domain").agg(F.count(F.lit(1)).alias("size"))
-    a, b = sets.select(F.col("domain").alias("a"), "kind", "term"), sets.select(F.col("domain").alias("b"), "kind", "term")
-    both = a.join(b, ["kind", "term"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    sized = both.join(sizes.select(F.col("domain").alias("a"), F.col("size").alias("n_a")), "a").join(sizes.select(F.col("domain").alias("b"), F.col("size").alias("n_b")), "b")
-    return sized.select("a", "b", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("similarity"))
+def jaccard(sets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, a, b, similarity) of outlets that share a term, a before b; ``sets`` has distinct (keys, domain, kind, term)."""
+    sizes = sets.groupBy(*keys, "domain").agg(F.count(F.lit(1)).alias("size"))
+    a, b = sets.select(*keys, F.col("domain").alias("a"), "kind", "term"), sets.select(*keys, F.col("domain").alias("b"), "kind", "term")
+    both = a.join(b, [*keys, "kind", "term"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    sized = both.join(sizes.select(*keys, F.col("domain").alias("a"), F.col("size").alias("n_a")), [*keys, "a"]).join(sizes.select(*keys, F.col("domain").alias("b"), F.col("size").alias("n_b")), [*keys, "b"])
+    return sized.select(*keys, "a", "b", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("similarity"))
 
 
-def neighbours(edges: DataFrame, top: int = 5) -> DataFrame:
+def neighbours(edges: DataFrame, top: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
     """The ``top`` most similar outlets of each; ties by name."""
-    both = edges.select(F.col("a").alias("domain"), F.col("b").alias("neighbor"), "similarity").unionByName(edges.select(F.col("b").alias("domain"), F.col("a").alias("neighbor"), "similarity"))
-    w = Window.partitionBy("domain").orderBy(F.desc("similarity"), "neighbor")
-    return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).select("domain", "neighbor", "similarity", "rn")
+    both = edges.select(*keys, F.col("a").alias("domain"), F.col("b").alias("neighbor"), "similarity").unionByName(edges.select(*keys, F.col("b").alias("domain"), F.col("a").alias("neighbor"), "similarity"))
+    w = Window.partitionBy(*keys, "domain").orderBy(F.desc("similarity"), "neighbor")
+    return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).select(*keys, "domain", "neighbor", "similarity", "rn")

@@ -13,7 +13,7 @@ from liame.clock import ANCHOR
 from liame.corpus import Corpus
 from liame.functions.scoring import pmi, rank, signature_floor
 from liame.functions.text import folded
-from liame.operators.scope import Scope, in_scope, tracked
+from liame.operators.scope import Scope, in_scope, outlet_domain, tracked
 
 SOURCES = ("bluesky", "camara", "gdelt", "gkg", "gnews", "juridico", "nicho", "oficial", "rss", "senado")
 DAYS = (7, 21)
@@ -87,6 +87,22 @@ def person_terms(c: Corpus, days: int, at: str = ANCHOR, top: int = TOP) -> Data
     return ranked.where(keep).select(F.lit(days).cast("long").alias("days"), "source", "person_id", "term", "kind", "c_pt", "c_t", "tone", "reach")
 
 
+def outlet_terms(c: Corpus, days: int, at: str = ANCHOR, top: int = 40, floor: int = 3) -> DataFrame:
+    """(days, person_id, domain, kind, term, c_pt): the best terms of every outlet about each person, all persons at once."""
+    docs = in_scope(c.docs, Scope(days, at=at)).select("doc_id", outlet_domain().alias("domain")).where("domain is not null and domain <> ''")
+    rows = c.doc_terms.join(docs.join(c.doc_persons, "doc_id"), "doc_id")
+    counts = rows.groupBy("person_id", "domain", "term_id").agg(F.count(F.lit(1)).alias("c_pt")).where(F.col("c_pt") >= floor)
+    own = F.coalesce(F.arrays_overlap(F.split("term", " "), F.col("names")), F.lit(False))
+    scored = (
+        counts.join(c.terms, "term_id").join(person_tokens(c), "person_id", "left").where(~own)
+        .join(universe(c, days, at).where("source = 'all'").select("term_id", "c_t"), "term_id")
+        .join(scopes(c, days, at).where("source = 'all'").select("person_id", "tracked", "about"), "person_id")
+        .withColumn("key", rank(pmi(F.col("c_pt"), F.col("tracked"), F.col("about"), F.col("c_t")), F.col("c_pt")))
+    )
+    ranked = scored.withColumn("rn", F.row_number().over(Window.partitionBy("person_id", "domain").orderBy(F.desc("key"), "term", "kind")))
+    return ranked.where(F.col("rn") <= top).select(F.lit(days).cast("long").alias("days"), "person_id", "domain", "kind", "term", "c_pt")
+
+
 def write_window(rows: DataFrame, path: str) -> None:
     """Overwrites only the windows that ``rows`` holds."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("days").parquet(path)
