@@ -14,26 +14,19 @@ from liame.llm.components import connected_components
 from liame.plans.lineage import cut
 from liame.sources.tables import load
 
-SPACE = r"[\s\x0b\p{Z}\x{85}\x{1c}-\x{1f}]+"
+SPACE = r"[\t\r\f \x0b\p{Z}\x{85}\x{1c}-\x{1f}]+"  # all but the line feed
 DIGITS = r"\p{Nd}+"
 
 
-def like(line):
-    """A line without its letter case, white space differences and numbers."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), DIGITS, "0"), SPACE, " "))
+def alike_lines(text: str):
+    """The lines of a text, split at a line feed, without letter case, white space differences and numbers."""
+    folded = F.regexp_replace(F.regexp_replace(F.lower(text), DIGITS, "0"), SPACE, " ")
+    return F.transform(F.split(folded, "\n", -1), lambda x: F.trim(x))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and the array of (line_no, key) of its lines that aren't blank; no shuffle."""
-    docs = docs.where("doc_id is not null and text is not null")
-    site = F.coalesce("domain", "source", F.lit(""))
-    lines = F.transform(
-        F.split("text", "\n", -1),
-        lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), like(x).alias("like")),
-    )
-    docs = docs.select("doc_id", site.alias("site"), F.filter(lines, lambda x: x["like"] != "").alias("lines"))
-    key = lambda x: F.struct(x["line_no"].alias("line_no"), F.md5(F.concat_ws("\n", F.col("site"), x["like"])).alias("key"))
-    return docs.select("doc_id", F.transform("lines", key).alias("lines"))
+def like(line):
+    """A single line without its letter case, white space differences and numbers."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), DIGITS, "0"), SPACE, " "))
 
 
 def repeated_lines(docs: DataFrame, least: int = 5) -> DataFrame:
@@ -46,7 +39,11 @@ def repeated_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     connected component of lines that at least ``least`` documents hold one
     after the other; a line that stands with no other is a block by itself.
     """
-    keyed = _keyed(docs)
+    docs = docs.where("doc_id is not null and text is not null")
+    site = F.coalesce("domain", "source", F.lit(""))
+    key = lambda x, i: F.when(x != "", F.struct((i + 1).cast("long").alias("line_no"), F.unhex(F.md5(F.concat_ws("\n", site, x))).alias("key")))
+    # Lines are keyed once; nodes, edges and occurrences are read from the written keys.
+    keyed = cut(docs.select("doc_id", F.array_compact(F.transform(alike_lines("text"), key)).alias("lines")).where(F.size("lines") > 0))
     seen = keyed.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.line_no", "x.key")
     nodes = cut(seen.groupBy("key").agg(F.countDistinct("doc_id").alias("docs")).where(F.col("docs") >= least).select(F.col("key").alias("node")))
     next_ones = F.arrays_zip(
@@ -55,7 +52,7 @@ def repeated_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     pairs = keyed.select("doc_id", F.explode(F.array_distinct(next_ones)).alias("x")).select("doc_id", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
     edges = pairs.where("b is not null").groupBy("a", "b").agg(F.countDistinct("doc_id").alias("docs")).where(F.col("docs") >= least)
     blocks = connected_components(nodes, edges)
-    found = seen.join(blocks.select(F.col("node").alias("key"), F.col("component").alias("block")), "key")
+    found = seen.join(blocks.select(F.col("node").alias("key"), F.lower(F.hex("component")).alias("block")), "key")
     return found.select("doc_id", "line_no", "block").distinct()
 
 
