@@ -24,11 +24,6 @@ def alike_lines(text: str):
     return F.transform(F.split(folded, "\n", -1), lambda x: F.trim(x))
 
 
-def like(line):
-    """A single line without its letter case, white space differences and numbers."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), DIGITS, "0"), SPACE, " "))
-
-
 def repeated_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     """(doc_id, line_no, block) of every line whose like stands in ``least`` documents of its site.
 

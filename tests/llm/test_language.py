@@ -111,10 +111,19 @@ def test_cut_copy_in_a_hot_group_of_near_copies(spark, monkeypatch, heavy):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
     article = [word() for _ in range(404)]
-    rows = [(1, [], " ".join(article) + "."), (2, [], " ".join(article[:343]) + " " + article[343][:4])]
-    rows += [(10 + i, [], " ".join(article + [word() for _ in range(rng.randint(120, 240))]) + ".") for i in range(150)]
-    base = spark.createDataFrame(rows, "doc_id long, site_lines array<long>, text string")
-    assert [r["doc_id"] for r in tr._cut_copies(base).collect()] == [2]
+    rows = [(1, "rss", "a.br", " ".join(article) + "."), (2, "rss", "b.br", " ".join(article[:343]) + " " + article[343][:4])]
+    rows += [(10 + i, "rss", f"s{i}.br", " ".join(article + [word() for _ in range(rng.randint(120, 240))]) + ".") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, domain string, text string")
+    assert [(r["doc_id"], r["how"]) for r in tr.truncated(docs).where("how is not null").collect()] == [(2, "copy")]
+
+
+def test_a_bounded_sample_fits_the_same_verdicts(spark, monkeypatch):
+    rows = [(i, "rss", f"s{i}.br", f"a oposição afirma que a medida é apenas uma resposta à crise de energia em cidade{i % 26}.") for i in range(400)]
+    rows += [(1000, "rss", "t.br", "a oposição afirma que a medida é apenas"), (1001, "rss", "t.br", "a oposição afirma que a medida é apenas uma respo")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, domain string, text string")
+    whole = sorted(r["doc_id"] for r in tr.truncated(docs).where("how is not null").collect())
+    monkeypatch.setattr(tr, "SAMPLE_CHARS", 15_000)
+    assert sorted(r["doc_id"] for r in tr.truncated(docs).where("how is not null").collect()) == whole == [1000, 1001]
 
 
 def test_checksums():
