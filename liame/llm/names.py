@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from math import log
+from math import exp, log
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +27,11 @@ from liame.sources.tables import load
 
 COMMON = 0.008  # share of spellings from which on a word is a given name or a kind of organisation
 TRACKED = 20.0  # documents by which a known spelling's prior is raised
-# Logarithms of the likelihoods of what a typist does, and of an unrelated name looking so alike.
-EXACT, TYPO, INITIAL, NICK, SHORT, DROPPED, ADDED, JOINED, REORDERED, UNRELATED = 0.0, -3.0, -3.0, -2.0, -2.0, -2.0, -4.0, -2.5, -4.0, -12.0
+# Logarithms of the likelihoods of what a typist does, before any known pair is seen.
+PRIOR = {"exact": 0.0, "typo": -3.0, "initial": -3.0, "nick": -2.0, "short": -2.0, "dropped": -2.0, "added": -4.0, "joined": -2.5, "reordered": -4.0}
+WEIGHT = 400.0  # known pairs that count as much as PRIOR does
+UNRELATED = -12.0  # of an unrelated name looking so alike
+CROWDED = 300  # forms of a surname block from which on it is split by given name, then by middle words
 IMPOSSIBLE = -99.0
 MARGIN = 1.5  # by how much the best explanation must beat another person's
 TITLES = set("dr dra dep sen gov ver prof profa sr sra min pres des eng adv rev pe".split())
@@ -98,53 +101,96 @@ def near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
-def _word(v: str, c: str, given: bool, either: bool = False) -> float:
-    """Log-likelihood that a word ``c`` was typed as ``v`` (``either``: or ``v`` as ``c``)."""
+Channel = dict[str, float]  # what a typist does -> logarithm of its likelihood
+Way = tuple[float, tuple[str, ...]]  # logarithm of a likelihood, and what was done
+NO_WAY: Way = (IMPOSSIBLE, ())
+
+
+def _one(channel: Channel, *done: str) -> Way:
+    return sum(channel[x] for x in done), done
+
+
+def _both(a: Way, b: Way) -> Way:
+    return (a[0] + b[0], a[1] + b[1]) if a[0] > IMPOSSIBLE and b[0] > IMPOSSIBLE else NO_WAY
+
+
+def _word(v: str, c: str, given: bool, ch: Channel, either: bool = False) -> Way:
+    """How a word ``c`` was typed as ``v`` (``either``: or ``v`` as ``c``)."""
     if either:
-        return max(_word(v, c, given), _word(c, v, given))
+        return max(_word(v, c, given, ch), _word(c, v, given, ch))
     if v == c:
-        return EXACT
+        return _one(ch, "exact")
     if len(v) == 1:
-        return INITIAL if c[0] == v else IMPOSSIBLE
+        return _one(ch, "initial") if c[0] == v else NO_WAY
     if given and c in FULL.get(v, ()):
-        return NICK
+        return _one(ch, "nick")
     if len(v) >= 3 and len(c) > len(v) + 1 and c.startswith(v):
-        return SHORT
+        return _one(ch, "short")
     if min(len(v), len(c)) >= 2 and max(len(v), len(c)) >= 3 and near(v, c):
-        return TYPO
-    return IMPOSSIBLE
+        return _one(ch, "typo")
+    return NO_WAY
 
 
-def _inner(v: list[str], c: list[str], either: bool = False) -> float:
-    """The words between given name and surname, in order; the shorter list may lack some."""
-    if not v or not c:
-        return EXACT if v == c else DROPPED if c else ADDED
-    if len(v) > len(c):
-        return max(_inner(v[:i] + v[i + 1 :], c, either) for i in range(len(v))) + ADDED
-    if len(v) < len(c):
-        return max(_inner(v, c[:i] + c[i + 1 :], either) for i in range(len(c))) + DROPPED
-    return max(IMPOSSIBLE, sum(_word(x, y, False, either) for x, y in zip(v, c)))
+def _inner(v: list[str], c: list[str], ch: Channel, either: bool = False) -> Way:
+    """The words between given name and surname, in order; the shorter list may lack some.
 
+    Filled row by row: ``best[j]`` is the best way to match the first ``j``
+    words of the shorter list with a beginning of the longer.
+    """
+    swapped = len(v) > len(c)
+    short, long = (c, v) if swapped else (v, c)
+    skip = _one(ch, "added" if swapped else "dropped")
+    spare = len(long) - len(short)
+    best: list[Way] = [(0.0, ())] + [NO_WAY] * len(short)
+    for i, word in enumerate(long):
+        for j in range(min(i + 1, len(short)), -1, -1):
+            way = _both(best[j], skip) if i - j < spare else NO_WAY
+            if j:
+                own = _word(word, short[j - 1], False, ch, either) if swapped else _word(short[j - 1], word, False, ch, either)
+                way = max(way, _both(best[j - 1], own))
+            best[j] = way
+    return best[-1]
+
+
+def acronyms(c: list[str]) -> set[str]:
+    """What a name of three to five words may be called by the beginnings of its words: up to three letters of each, eight in all."""
+    if not 3 <= len(c) <= 5:
+        return set()
+    out = {""}
+    for i, w in enumerate(c):
+        left = len(c) - 1 - i
+        out = {a + w[:k] for a in out for k in range(1, min(3, len(w)) + 1) if len(a) + k + left <= 8}
+    return out
 
-def likelihood(v: list[str], c: list[str], either: bool = False) -> float:
-    """Log-likelihood that the name ``c``, of two words or more, was typed as ``v`` (``either``: that both stand for one name)."""
+
+def explain(v: list[str], c: list[str], ch: Channel, either: bool = False) -> Way:
+    """How the name ``c``, of two words or more, was typed as ``v`` (``either``: how both may stand for one name)."""
     if not v or len(c) < 2:
-        return IMPOSSIBLE
+        return NO_WAY
+    whole = "".join(c)
     if len(v) == 1:
-        if len(v[0]) == 4 and len(c) == 3 and v[0] == c[0][0] + c[1][0] + c[2][:2]:
-            return INITIAL + SHORT
-        return JOINED * 2 if v[0] == "".join(c) else IMPOSSIBLE
-    best = JOINED + (EXACT if "".join(v) == "".join(c) else TYPO) if v != c and len(v) < len(c) and ("".join(v) == "".join(c) or near("".join(v), "".join(c))) else IMPOSSIBLE
-    last = _word(v[-1], c[-1], False, either) if len(v[-1]) > 1 else IMPOSSIBLE
-    if last > IMPOSSIBLE:
-        best = max(best, _word(v[0], c[0], True, either) + last + _inner(v[1:-1], c[1:-1], either))
+        if v[0] == whole:
+            return _one(ch, "joined", "joined")
+        return _one(ch, *["initial"] * len(c)) if 3 <= len(v[0]) <= 8 and v[0] in acronyms(c) else NO_WAY
+    best, typed = NO_WAY, "".join(v)
+    if v != c and len(v) < len(c) and (typed == whole or near(typed, whole)):
+        best = _one(ch, "joined", "exact" if typed == whole else "typo")
+    last = _word(v[-1], c[-1], False, ch, either) if len(v[-1]) > 1 else NO_WAY
+    if last[0] > IMPOSSIBLE:
+        given = _word(v[0], c[0], True, ch, either)
+        if given[0] > IMPOSSIBLE:
+            best = max(best, _both(_both(given, last), _inner(v[1:-1], c[1:-1], ch, either)))
         if len(v) == 2 and len(c) > 2:
             if len(v[0]) == len(c) - 1 and v[0] == "".join(w[0] for w in c[:-1]):
-                best = max(best, INITIAL * 2 + last)
+                best = max(best, _both(_one(ch, *["initial"] * (len(c) - 1)), last))
             both = "".join(c[:-1])
             if v[0] == both or near(v[0], both):
-                best = max(best, JOINED + last + (EXACT if v[0] == both else TYPO))
-    return max(best, IMPOSSIBLE)
+                best = max(best, _both(_one(ch, "joined", "exact" if v[0] == both else "typo"), last))
+    return best
+
+
+def likelihood(v: list[str], c: list[str], either: bool = False, channel: Channel = PRIOR) -> float:
+    return explain(v, c, channel, either)[0]
 
 
 def readings(tokens: list[str]) -> list[list[str]]:
@@ -155,33 +201,57 @@ def readings(tokens: list[str]) -> list[list[str]]:
     return [tokens, tokens[1:] + tokens[:1], tokens[-1:] + tokens[:-1]] if len(tokens) > 2 else [tokens]
 
 
-def any_order(v: list[str], c: list[str], either: bool = False) -> float:
-    """``likelihood`` of the best reading of ``v``; a moved surname costs REORDERED."""
+def any_order(v: list[str], c: list[str], either: bool = False, channel: Channel = PRIOR) -> Way:
+    """``explain`` of the best reading of ``v``."""
     own, *moved = readings(v)
-    return max(IMPOSSIBLE, likelihood(own, c, either), *(likelihood(r, c, either) + REORDERED for r in moved))
+    return max(explain(own, c, channel, either), *(_both(explain(r, c, channel, either), _one(channel, "reordered")) for r in moved), NO_WAY)
 
 
-def keys(tokens: list[str]) -> set[str]:
-    """Join keys: two forms that ``likelihood`` connects share one.
+def _pieces(word: str) -> set[str]:
+    """A word, and it with one letter left out: two words one typo apart share a piece."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def _surname_keys(tokens: list[str]) -> set[str]:
+    letters = {tokens[0][0], *(n[0] for n in FULL.get(tokens[0], ()))}
+    return {f"s:{piece}:{x}" for piece in _pieces(tokens[-1]) for x in letters} if len(tokens) > 1 else set()
+
 
-    The surname with at most one letter left out, together with the first
-    letters that the given name may have; the surname with the middle names;
-    all words joined with at most one letter left out; an organisation's acronym.
+def keys(tokens: list[str]) -> set[str]:
+    """Join keys: two forms that ``explain`` connects share one.
+
+    The surname with at most one letter left out, with the first letters that
+    the given name may have; the exact surname with the given name less one of
+    its first two letters; of three words or more, initial, middle words and
+    the surname's first letters; all words joined with at most one letter left
+    out; the acronyms. Not covered: a typo in the given name's first letter
+    together with one in the surname, and an abbreviated surname of a name of two words.
     """
-    out = set()
+    out = _surname_keys(tokens)
     if len(tokens) > 1:
         last, given = tokens[-1], tokens[0]
-        letters = {given[0], *(n[0] for n in FULL.get(given, ()))}
-        for piece in {last, *(last[:i] + last[i + 1 :] for i in range(len(last)))}:
-            out |= {f"s:{piece}:{x}" for x in letters}
+        out |= {f"t:{last}:{g}" for g in (given, given[1:], given[:1] + given[2:]) if len(g) > 1}
+        if len(tokens) > 2 and len(last) > 2:
+            out.add(f"p:{given[0]}:{' '.join(tokens[1:-1])}:{last[:3]}")
+    out |= {f"w:{p}" for p in _pieces("".join(tokens))}
+    if len(tokens) == 1:
+        out |= {f"a:{tokens[0]}"} if 3 <= len(tokens[0]) <= 8 else set()
+    return out | {f"a:{a}" for a in acronyms(tokens)}
+
+
+def finer(tokens: list[str], level: int) -> tuple[set[str], set[str]]:
+    """(as a typed form, as a candidate): keys within a crowded surname block, by given name (level 0) or middle words (level 1)."""
+    if level == 0:
+        given, runs = tokens[0], set()
         if len(tokens) > 2:
-            out.add("m:" + " ".join(tokens[1:]))
-            out.add("a:" + tokens[0][0] + tokens[1][0] + tokens[2][:2])
-    whole = "".join(tokens)
-    out |= {f"w:{p}" for p in {whole, *(whole[:i] + whole[i + 1 :] for i in range(len(whole)))}}
-    if len(tokens) == 1 and len(tokens[0]) == 4:
-        out.add("a:" + tokens[0])
-    return out
+            runs = _pieces("".join(tokens[:-1])) | {"".join(w[0] for w in tokens[:-1])}
+        typed = _pieces(given) | FULL.get(given, set()) if len(given) > 1 else {"=" + given}
+        return typed, _pieces(given) | {given[:k] for k in range(3, len(given))} | {"=" + given[0]} | runs
+    middle = tokens[1:-1]
+    if not middle:
+        return {"~"}, {"~", "^"}
+    typed = {"^"}.union(*(_pieces(m) if len(m) > 1 else {"=" + m} for m in middle))
+    return typed, {"~"}.union(*(_pieces(m) | {m[:k] for k in range(3, len(m))} | {"=" + m[0]} for m in middle))
 
 
 def _forms(batches: Iterator[pd.DataFrame], common: set[str]) -> Iterator[pd.DataFrame]:
@@ -235,20 +305,46 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
             for f, q, t in zip(batch["form"], batch["freq"], batch["tracked"]):
                 own, *moved = (keys(r) for r in readings(f.split()))
                 standing = _standing(f.split())
-                rows += [(f, q, t, standing, k, k in own) for k in own.union(*moved)]
-            yield pd.DataFrame(rows, columns=["form", "freq", "tracked", "standing", "key", "own"])
-
-    rows = cut(forms.repartition(tasks(spark)).mapInPandas(keyed, "form string, freq long, tracked boolean, standing int, key string, own boolean"))
+                rows += [(f, q, t, standing, k, True, k in own and standing > 1) for k in own.union(*moved)]
+            yield pd.DataFrame(rows, columns=KEYED)
+
+    def split(level: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for row in batch.itertuples(index=False):
+                    base = row.key.split("|")[0]
+                    for i, r in enumerate(readings(row.form.split())):
+                        if base in _surname_keys(r):
+                            typed, candidate = finer(r, level)
+                            candidate = candidate if row.as_c and i == 0 else set()
+                            typed = typed if row.as_v else set()
+                            rows += [(row.form, row.freq, row.tracked, row.standing, f"{row.key}|{x}", x in typed, x in candidate) for x in typed | candidate]
+                yield pd.DataFrame(rows, columns=KEYED)
+
+        return run
+
+    schema = "form string, freq long, tracked boolean, standing int, key string, as_v boolean, as_c boolean"
+    rows = cut(forms.repartition(tasks(spark)).mapInPandas(keyed, schema))
+    # Pairs within a block grow with its square, so crowded ones are split by what a link needs besides.
+    done = []
+    for level in (0, 1):
+        crowded = rows.where("key like 's:%'").groupBy("key").count().where(F.col("count") > CROWDED).select("key")
+        done.append(rows.join(crowded, "key", "left_anti"))
+        rows = cut(rows.join(crowded, "key", "left_semi").mapInPandas(split(level), schema).distinct())
+    rows = done[0].unionByName(done[1]).unionByName(rows)
     rank = F.struct(F.col("tracked"), F.col("standing"), F.col("freq"), F.col("form"))
-    v = rows.select("key", F.col("form").alias("v"), F.col("freq").alias("v_freq"), rank.alias("v_rank"))
-    c = rows.where("standing > 1 and own").select("key", F.col("form").alias("c"), F.col("freq").alias("c_freq"), F.col("tracked").alias("c_tracked"), rank.alias("c_rank"))
+    v = rows.where("as_v").select("key", F.col("form").alias("v"), F.col("freq").alias("v_freq"), rank.alias("v_rank"))
+    c = rows.where("as_c").select("key", F.col("form").alias("c"), F.col("freq").alias("c_freq"), F.col("tracked").alias("c_tracked"), rank.alias("c_rank"))
     pairs = v.join(c, "key").where("v_rank < c_rank").select("v", "v_freq", "c", "c_freq", "c_tracked").distinct()
+    same = listed.join(parsed.select("name", "form"), "name")
+    channel = _channel(same)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                x = any_order(row.v.split(), row.c.split())
+                x, _ = any_order(row.v.split(), row.c.split(), channel=channel)
                 if x > IMPOSSIBLE:
                     prior = log(1 + row.c_freq + TRACKED * row.c_tracked)
                     if x + prior - log(1 + row.v_freq) > UNRELATED:
@@ -260,17 +356,38 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
 
     def rivals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            other = [max(any_order(a.split(), b.split(), True), any_order(b.split(), a.split(), True)) <= IMPOSSIBLE for a, b in zip(batch["c"], batch["best"])]
+            other = [max(any_order(a.split(), b.split(), True, channel), any_order(b.split(), a.split(), True, channel))[0] <= IMPOSSIBLE for a, b in zip(batch["c"], batch["best"])]
             yield batch.loc[other, ["v"]]
 
     doubtful = likely.join(best, "v").where((F.col("c") != F.col("best")) & (F.col("score") > F.col("best_score") - MARGIN)).select("v", "c", "best").mapInPandas(rivals, "v string").distinct()
     links = best.join(doubtful, "v", "left_anti").select(F.col("v").alias("a"), F.col("best").alias("b"))
-    same = listed.join(parsed.select("name", "form"), "name")
     links = links.unionByName(same.join(same.groupBy("id").agg(F.min("form").alias("first")), "id").select(F.col("form").alias("a"), F.col("first").alias("b")).distinct())
     entities = connected_components(forms.select(F.col("form").alias("node")), links)
     return parsed.join(entities.select(F.col("node").alias("form"), F.col("component").alias("entity")), "form").select("name", "entity")
 
 
+KEYED = ["form", "freq", "tracked", "standing", "key", "as_v", "as_c"]
+
+
+def _channel(same: DataFrame) -> Channel:
+    """The likelihoods after the known pairs: what turns the longest spelling of an id into its others, counted, beside PRIOR.
+
+    ``same`` has (id, form, ...). The counts, one for each thing a typist does, are all that is collected.
+    """
+    longest = same.groupBy("id").agg(F.max(F.struct(F.size(F.split("form", " ")), F.length("form"), F.col("form"))).alias("m")).select("id", F.col("m.form").alias("c"))
+    pairs = same.select("id", F.col("form").alias("v")).distinct().join(longest, "id").where("v <> c")
+
+    def done(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(x,) for v, c in zip(batch["v"], batch["c"]) for x in any_order(v.split(), c.split())[1]], columns=["done"], dtype=object)
+
+    seen = {r["done"]: r["count"] for r in pairs.mapInPandas(done, "done string").groupBy("done").count().collect()}
+    whole = sum(exp(x) for x in PRIOR.values())
+    total = sum(seen.values()) + WEIGHT
+    raw = {k: log((seen.get(k, 0) + WEIGHT * exp(x) / whole) / total) for k, x in PRIOR.items()}
+    return {k: min(0.0, x - raw["exact"]) for k, x in raw.items()}
+
+
 def _inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     typed = load(spark, folder, "doc_candidates").select(F.col("doc_id").alias("record"), "name")
     persons = load(spark, folder, "persons")
