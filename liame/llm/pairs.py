@@ -107,7 +107,17 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_scored(spark: SparkSession, folder: str) -> DataFrame:
-    return together(members(spark, folder), load(spark, folder, "docs").count())
+    pairs = together(members(spark, folder), load(spark, folder, "docs").count())
+    return pairs.withColumns({c: F.round(c, 6) for c in ("lift", "pmi", "npmi")})
+
+
+def p1_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """Hashtags that the same sites use: a few baskets of many items, so most pairs are made from pairs of chunks."""
+    docs = load(spark, folder, "docs").select("doc_id", F.coalesce("domain", "source").alias("basket"))
+    tags = load(spark, folder, "terms").where("kind = 'hashtag'").select("term_id", F.col("term").alias("item"))
+    rows = load(spark, folder, "doc_terms").join(tags, "term_id").join(docs, "doc_id").select("basket", "item")
+    sites = docs.where("basket is not null").select("basket").distinct().count()
+    return together(rows, sites, 3, 1.5, 16).select("item_a", "item_b", "n_a", "n_b", "n_ab")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +136,7 @@ def p1_kept_counts(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(terms, "item_b").join(kept, ["item_a", "kind", "term"], "left").select("item_a", "item_b", "kind", "term", "n_ab", "kept_c_pt")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scored": p1_scored, "p1_kept_counts": p1_kept_counts}
+QUERIES = {"p1_found": p1_found, "p1_scored": p1_scored, "p1_sites": p1_sites, "p1_kept_counts": p1_kept_counts}
 
 _PAIRS = """
 with m as (select doc_id, 'term:' || term_id as item from doc_terms where doc_id is not null and term_id is not null
@@ -138,6 +148,13 @@ f as (select item_a, item_b, ca.n_x as n_a, cb.n_x as n_b, n_ab, n from p join c
 """
 SQL = {
     "p1_found": _PAIRS + "select item_a, item_b from f",
+    "p1_scored": _PAIRS + """, s as (select *, n_ab * n::double / (n_a * n_b) as lift from f)
+select item_a, item_b, n_a, n_b, n_ab, round(lift, 6) as lift, round(log2(lift), 6) as pmi, round(log2(lift) / greatest(-log2(n_ab / n::double), 1e-12), 6) as npmi from s""",
+    "p1_sites": """
+with m as (select distinct coalesce(domain, source) as s, term as item from docs join doc_terms using (doc_id) join terms using (term_id) where kind = 'hashtag' and coalesce(domain, source) is not null),
+n as (select count(distinct coalesce(domain, source)) as n from docs), c as (select item, count(*) as n_x from m group by 1),
+p as (select a.item as item_a, b.item as item_b, count(*) as n_ab from m a join m b on a.s = b.s and a.item < b.item group by 1, 2 having count(*) >= 3)
+select item_a, item_b, ca.n_x as n_a, cb.n_x as n_b, n_ab from p join c ca on ca.item = item_a join c cb on cb.item = item_b, n where n_ab * n >= 1.5 * ca.n_x * cb.n_x""",
     "p1_kept_counts": _PAIRS + """, g as (select 'person:' || person_id as item_a, kind, term, max(c_pt)::bigint as kept_c_pt from graph_terms where source = 'all' group by 1, 2, 3)
 select item_a, item_b, kind, term, n_ab, kept_c_pt from f join terms t on item_b = 'term:' || t.term_id left join g using (item_a, kind, term) where item_a like 'person:%'""",
 }

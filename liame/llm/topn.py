@@ -66,7 +66,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_ranked(spark, folder).select(*KEYS, "term")
 
 
-QUERIES = {"p5_found": p5_found, "p5_ranked": p5_ranked}
+def p5_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 terms of every window and source by c_pt with any person and kind; the largest groups take the salted way."""
+    top = top_n(load(spark, folder, "graph_terms"), ["days", "source"], "term", "c_pt", 50, 2_000)
+    return top.select(F.col("days").cast("long").alias("days"), "source", "term", F.col("c_pt").cast("long").alias("c_pt"), F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_ranked": p5_ranked, "p5_windows": p5_windows}
 
 _TOP = """
 with one as (select days, source, person_id, kind, term, max(c_pt) as c_pt from graph_terms where term is not null and c_pt is not null group by 1, 2, 3, 4, 5),
@@ -74,5 +80,8 @@ r as (select *, row_number() over (partition by days, source, person_id, kind or
 """
 SQL = {
     "p5_found": _TOP + "select days::bigint as days, source, person_id, kind, term from r where rank <= 10",
+    "p5_windows": """with one as (select days, source, term, max(c_pt) as c_pt from graph_terms where term is not null and c_pt is not null group by 1, 2, 3),
+r as (select *, row_number() over (partition by days, source order by c_pt desc, term) as rank from one)
+select days::bigint as days, source, term, c_pt::bigint as c_pt, rank from r where rank <= 50""",
     "p5_ranked": _TOP + "select days::bigint as days, source, person_id, kind, term, c_pt, rank from r where rank <= 10",
 }
