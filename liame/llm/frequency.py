@@ -22,6 +22,8 @@ from liame.plans.lineage import cut
 from liame.sources.tables import load
 
 SEP = "\x1e"  # below every character of a term, so that a prefix follows its extensions in descending order
+CONTROL = "".join(map(chr, range(32)))
+SHOWN = "".join(chr(0xE100 + c) for c in range(32))  # what stands for control characters inside a term
 OUT = "ngram string, n int, occurrences long, records long"
 
 
@@ -88,11 +90,12 @@ def ngram_counts(sequences: DataFrame, max_n: int = 1, heavy: int = 200_000) ->
 
     ``sequences`` has (record long, terms array<string>); one record may have
     several sequences. Null records, arrays and terms count nothing (a null
-    term is left out, its neighbours then stand together); terms hold no
-    U+001E. Returns (ngram, n, occurrences, records), the terms of an n-gram
-    separated by U+001E.
+    term is left out, its neighbours then stand together). Returns (ngram, n,
+    occurrences, records), the terms of an n-gram separated by U+001E; control
+    characters inside a term come out as U+E100 and following.
     """
-    terms = sequences.where("record is not null and terms is not null").select("record", F.filter("terms", lambda t: t.isNotNull()).alias("terms"))
+    clean = lambda t: F.when(t.rlike(r"[\x00-\x1f]"), F.translate(t, CONTROL, SHOWN)).otherwise(t)
+    terms = sequences.where("record is not null and terms is not null").select("record", F.transform(F.filter("terms", lambda t: t.isNotNull()), clean).alias("terms"))
     suffixes = terms.select("record", F.posexplode("terms").alias("i", "first"), "terms").select(
         "record", "first", F.concat_ws(SEP, F.slice("terms", F.col("i") + 1, max_n)).alias("suffix")
     )
@@ -138,10 +141,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    """Words and word pairs of docs.text in at least 3 documents, with occurrences."""
+    """Every word, pair and triple of docs.text with occurrences, documents and mark."""
+    docs = load(spark, folder, "docs")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    counts = ngram_counts(load(spark, folder, "docs").select(F.col("doc_id").alias("record"), words.alias("terms")), 2)
-    return counts.where("records >= 3").select(F.translate("ngram", SEP, " ").alias("ngram"), F.col("n").cast("long").alias("n"), "occurrences", "records")
+    counts = ngram_counts(docs.select(F.col("doc_id").alias("record"), words.alias("terms")), 3)
+    mark = F.when(F.col("records") < 3, "rare").when(F.col("records") > F.lit(0.15 * docs.count()), "common")
+    return counts.select(F.translate("ngram", SEP, " ").alias("ngram"), F.col("n").cast("long").alias("n"), "occurrences", "records", mark.alias("mark"))
 
 
 QUERIES = {"p6_found": p6_found, "p6_counted": p6_counted, "p6_ngrams": p6_ngrams}
@@ -161,6 +166,8 @@ SQL = {
     "p6_ngrams": r"""
 with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from docs),
 g as (select doc_id, unnest(t) as ngram, 1 as n from w
-  union all select doc_id, unnest([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]), 2 from w)
-select ngram, n::bigint as n, count(*) as occurrences, count(distinct doc_id) as records from g group by 1, 2 having count(distinct doc_id) >= 3""",
+  union all select doc_id, unnest([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]), 2 from w
+  union all select doc_id, unnest([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)]), 3 from w),
+c as (select ngram, n::bigint as n, count(*) as occurrences, count(distinct doc_id) as records from g group by 1, 2)
+select *, case when records < 3 then 'rare' when records > 0.15 * (select count(*) from docs) then 'common' end as mark from c""",
 }
