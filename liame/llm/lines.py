@@ -83,6 +83,15 @@ k as (select *, trim(regexp_replace(regexp_replace(lower(line), '{DIGITS}', '0',
 f as (select doc_id, line_no from k where alike <> '' and (site, alike) in (select (site, alike) from k group by site, alike having count(distinct doc_id) >= 5))
 """
 SQL = {
+    # The smallest node that a line reaches names its block.
+    "p3_blocks": _LINES.replace("with d as", "with recursive d as") + """,
+n as (select doc_id, line_no, md5(site || chr(10) || alike) as node from k join f using (doc_id, line_no)),
+o as (select doc_id, md5(site || chr(10) || alike) as x, lead(md5(site || chr(10) || alike)) over (partition by doc_id order by line_no) as y from k where alike <> ''),
+e as (select x, y from o where y is not null and x <> y and x in (select node from n) and y in (select node from n) group by 1, 2 having count(distinct doc_id) >= 5),
+w as (select x, y from e union select y, x from e),
+r as (select distinct node, node as to_node from n union select r.node, w.y from r join w on r.to_node = w.x),
+b as (select node, min(to_node) as block from r group by 1)
+select doc_id, line_no, block from n join b using (node)""",
     "p3_found": _LINES + "select doc_id, line_no from f",
     "p3_cleaned": _LINES + """, r as (select doc_id, count(*) as n_removed from f group by 1),
 c as (select doc_id, string_agg(line, chr(10) order by line_no) as text from k anti join f using (doc_id, line_no) group by 1)

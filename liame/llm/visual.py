@@ -38,9 +38,15 @@ def _one_to_one() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs) 
 
 
+HANGUL = ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xFFA0, 0xFFDC))  # composed by rule, from letters
+
+
 def _unaccented() -> tuple[str, str]:
-    """Every composed character of the BMP that begins with an ASCII letter, and that letter."""
-    pairs = [(chr(c), n[0]) for c in range(0xC0, 0xFFFF) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize("NFD", chr(c))) > 1 and n[0].isascii() and n[0].isalpha()]
+    """Every composed character of the BMP that begins with a letter, and that letter; Hangul aside."""
+    pairs = [
+        (chr(c), n[0]) for c in range(0xC0, 0xFFFF)
+        if not 0xD800 <= c < 0xE000 and not any(a <= c <= b for a, b in HANGUL) and (n := unicodedata.normalize("NFD", chr(c))) != chr(c) and n[0].isalpha()
+    ]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -54,8 +60,12 @@ def one_form(text: Column) -> Column:
 
 
 def rough_key(form: Column) -> Column:
-    """Equal for texts whose forms are equal under the collation, and for few others."""
-    return F.xxhash64(F.regexp_replace(F.translate(form, *_unaccented()), "[^A-Za-z0-9]+", ""))
+    """Equal for texts whose forms are equal under the collation, and for few others: the letters and digits without marks.
+
+    Left out are characters that a collation may skip or compose by rule: modifier letters, Hangul, all beyond the BMP.
+    """
+    hangul = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in HANGUL)
+    return F.xxhash64(F.regexp_replace(F.translate(form, *_unaccented()), f"[^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}\\p{{Lo}}\\p{{Nd}}]+|[{hangul}\\x{{10000}}-\\x{{10ffff}}]+", ""))
 
 
 def same_looking(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,19 +110,26 @@ def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {"p4_found": p4_found, "p4_canonical": p4_canonical}
 
 
-def _sql_form() -> str:
+def _sql_form(shape: bool = True) -> str:
+    """``one_form`` in SQL; ``shape``: composed and without variation selectors, as the collation compares."""
     quote = lambda s: s.replace("'", "''")
     a, b = _one_to_one()
     out = "regexp_replace(text, '([\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}\\x{FE0F}])\u200d([\\x{2190}-\\x{2BFF}\\x{1F000}-\\x{1FAFF}])', '\\1" + JOINED + "\\2', 'g')"
     out = f"translate({out}, '{quote(a)}', '{quote(b)}')"
-    out = f"regexp_replace({out}, '[{INVISIBLE}\u200d\ufe0f]', '', 'g')"
+    selector = "\ufe0f" if shape else ""
+    out = f"regexp_replace({out}, '[{INVISIBLE}\u200d{selector}]', '', 'g')"
     for x, y in LIGATURES.items():
         out = f"replace({out}, '{x}', '{y}')"
-    return f"nfc_normalize(regexp_replace(regexp_replace({out}, '[ \\t\\r]+\\n', chr(10), 'g'), '[ \\t\\r]+$', ''))"
+    out = f"regexp_replace(regexp_replace({out}, '[ \\t\\r]+\\n', chr(10), 'g'), '[ \\t\\r]+$', '')"
+    return f"nfc_normalize({out})" if shape else out
 
 
 SQL = {
     "p4_found": f"""
 with f as (select doc_id, text, {_sql_form()} as form from docs)
 select a.doc_id as doc_id_a, b.doc_id as doc_id_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text""",
+    "p4_canonical": f"""
+with f as (select doc_id, text, {_sql_form()} as shape, {_sql_form(False)} as form from docs),
+k as (select shape, min(md5(text)) as class, arg_min(form, md5(text)) as canonical from f where text is not null group by 1 having count(distinct text) > 1)
+select doc_id, class, coalesce(canonical, form) as form from f left join k using (shape)""",
 }
