@@ -3,7 +3,9 @@
 Regular expressions propose spans, checksum validators (Luhn, mod 97, the
 check digits of Brazilian and Portuguese numbers) raise the score of a span
 they confirm, and words nearby raise or lower it. A failed checksum lowers
-nothing: numbers are mistyped, and a number with a label stays personal.
+nothing: numbers are mistyped, and a number with a label stays personal. Given
+names are those listed and those the collection shows: words that stand before
+another capitalised word and follow a title or a phrase that introduces people.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from liame.sources.tables import load
 KINDS = ("email", "id_number", "phone", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[TELEFONE]", "id_number": "[DOCUMENTO]", "address": "[ENDEREÇO]", "name": "[NOME]"}
 ACCEPT = 0.5
-LARGEST_PERSONS = 1_000_000
+LARGEST_PERSONS = 1_000_000  # spellings of public persons up to which all go to every task; beyond, each document brings its own
+INTRODUCED, SHARE = 5, 0.2  # how often, and in what share of its places, a word must be introduced as a person's to be a given name
 
 # Common given names of the Portuguese-speaking world, without accents.
 GIVEN = set(
@@ -77,7 +80,14 @@ ADDRESS = re.compile(
 )
 NAME_RUN = re.compile(r"(?<![\w@#.])[A-ZÀ-Þ][\wÀ-ÿ'’-]+(?: (?:(?:[dD][aeoAEO][sS]?|del|e|E) )?[A-ZÀ-Þ][\wÀ-ÿ'’-]+)+")
 NAME_BEFORE = re.compile(r"(?:meu nome [ée]|me llamo|my name is|att\.,|atenciosamente,|cuidados de|falar com|morador[ae]?|aposentad[oa]|comiss[ãa]o|intima[çc][ãa]o:|assinam? a carta|nomead[oa]|vizinh[oa]|v[ií]tima|testemunha|cidad[ãa]o?|estudante|paciente|aluno|aluna|chamad[oa])\s*$", re.I)
-NAME_AFTER = re.compile(r"\s*(?:[,;-]? ?(?:CPF|C\.P\.F|RG|passaporte|t[ií]tulo de)|, residente|, morador|, de \d{1,3} anos|, portador|can only be reached|y dejo mi)", re.I)
+NAME_AFTER = re.compile(r"\s*(?:[,;-]? ?(?:CPF|C\.P\.F|RG|passaporte|t[ií]tulo de)|, residente|, morador|, de \d{1,3} anos|, portador)", re.I)
+
+
+LONG = re.compile(r"\d(?:[ .()/-]{0,3}\d){5,}")  # no number of a person has fewer digits in a row
+DIGIT = re.compile(r"\d")
+HIDDEN = re.compile(r"@|[(\[]\s?(?:arroba|at)\s?[)\]]", re.I)
+# Words after which a person is introduced, without accents.
+INTRODUCES = TITLES | set("chamado chamada morador moradora vizinho vizinha aposentado aposentada vitima testemunha cidada cidadao estudante paciente aluno aluna nome llamo".split())
 
 
 def plain(word: str) -> str:
@@ -118,19 +128,27 @@ def checked(span: str) -> bool:
 
 
 class Finder:
-    """Finds the pieces of a text; ``tracked`` are the folded spellings of public persons, ``starters`` folded words that begin sentences."""
+    """Finds the pieces of a text.
+
+    ``tracked`` are the folded spellings of public persons, ``starters`` folded
+    words that begin sentences, ``given`` given names beside the listed ones.
+    """
 
-    def __init__(self, tracked: set[str], starters: set[str]) -> None:
+    def __init__(self, tracked: set[str], starters: set[str], given: set[str] = frozenset()) -> None:
+        self.public(tracked)
+        self.starters = (STARTERS | starters) - GIVEN - PARTICLES
+        self.given = GIVEN | (given - self.starters - INSTITUTIONS - STREETS - TITLES - PARTICLES)
+
+    def public(self, tracked: set[str]) -> None:
         self.tracked = tracked
         self.longest = max((t.count(" ") + 1 for t in tracked), default=0)
-        self.starters = (STARTERS | starters) - GIVEN - PARTICLES
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Accepted spans (start, end, kind) in order, none over another."""
         found: list[tuple[float, int, int, str]] = []
-        if "@" in text or "arroba" in text.lower() or "at]" in text.lower() or "(at" in text.lower():
+        if HIDDEN.search(text):
             found += [(0.9, m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
-        if any(c.isdigit() for c in text):
+        if LONG.search(text):
             for pattern, base in IDS:
                 for m in pattern.finditer(text):
                     before = text[max(0, m.start() - 40) : m.start()]
@@ -142,6 +160,7 @@ class Finder:
                     before = text[max(0, m.start() - 40) : m.start()]
                     score = base + 0.35 * bool(PHONE_NEAR.search(before)) - 0.6 * bool(ID_LABEL.search(before) or ID_NOT.search(before))
                     found.append((score, m.start(), m.end(), "phone"))
+        if DIGIT.search(text):
             found += [(0.8, m.start(), m.end(), "address") for m in ADDRESS.finditer(text)]
         taken: list[tuple[int, int, str]] = []
         for score, a, b, kind in sorted(found, key=lambda x: (-x[0], x[1], -x[2])):
@@ -185,7 +204,7 @@ class Finder:
     def _segment(self, text: str, words: list, low: list[str], i: int, j: int) -> Iterator[tuple[int, int]]:
         while j > i and low[j - 1] in PARTICLES:
             j -= 1
-        start = next((k for k in range(i, j) if low[k] in GIVEN), None)
+        start = next((k for k in range(i, j) if low[k] in self.given), None)
         before = text[max(0, words[i][0] - 30) : words[i][0]]
         if start is None:
             start = i
@@ -224,25 +243,68 @@ def _starters(documents: DataFrame) -> set[str]:
         F.explode(F.regexp_extract_all("text", F.lit(r"((?:^|[.!?…:;”\"\n]\s*|[-–—] )?\b\p{Lu}[\p{L}]+)"), 1)).alias("w")
     )
     counts = (
-        words.select(F.regexp_extract("w", r"(\p{Lu}\p{L}+)$", 1).alias("word"), F.col("w").rlike(r"^\P{Lu}").cast("int").alias("first"))
+        words.select("w", F.ltrim("w", F.lit(".!?…:;”\"-–— \t\n\x0b\f\r")).alias("word")).select("word", F.when(F.col("w") != F.col("word"), 1).otherwise(0).alias("first"))
         .groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("first"))
         .where((F.col("n") >= max(10, n // 500)) & (F.col("first") >= 0.5 * F.col("n")))
     )
     return {plain(r["word"]) for r in counts.select("word").collect()}
 
 
-def _tracked(persons: DataFrame) -> set[str]:
-    """Folded spellings of the public persons, a dimension of bounded size that is checked here."""
-    spellings = persons.select(F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null").distinct()
-    rows = spellings.limit(LARGEST_PERSONS + 1).collect()
-    if len(rows) > LARGEST_PERSONS:
-        raise ValueError(f"more than {LARGEST_PERSONS} spellings of public persons")
-    return {plain(" ".join(r["name"].split())) for r in rows}
+def _given(documents: DataFrame) -> set[str]:
+    """Words before another capitalised word that often follow a title or an introduction, over all documents.
+
+    Kept are words introduced in at least one of 20 000 documents, so what is
+    collected is at most 20 000 times what a document introduces.
+    """
+    least = max(INTRODUCED, documents.count() // 20_000)
+    pairs = documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<!\p{L})(\p{L}+\.? )?(\p{Lu}\p{Ll}+) (?:d[aeo]s? )?\p{Lu}\p{Ll}"), 0)).alias("x"))
+    # The parts from the end: the next name's beginning, perhaps a particle, the word, perhaps the word before.
+    parts = F.split("x", " ")
+    at = F.when(F.substring(F.element_at(parts, -2), 1, 1) == "d", 3).otherwise(2)
+    first, before = F.element_at(parts, -at), F.rtrim(F.try_element_at(parts, -at - 1), F.lit("."))
+    accented = F.translate(F.lower(before), "áàâãéêíóôõúç", "aaaaeeiooouc")
+    counts = pairs.groupBy(first.alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count_if(accented.isin(sorted(INTRODUCES))).alias("introduced"))
+    return {plain(r["word"]) for r in counts.where((F.col("introduced") >= least) & (F.col("introduced") >= SHARE * F.col("n"))).select("word").collect()}
 
 
 def _finder(documents: DataFrame, persons: DataFrame):
+    """(doc_id, text, public) and the broadcast (public spellings, sentence starters, given names).
+
+    ``public`` is null where the spellings are broadcast; where persons are too
+    many for that, it has those of the document, from a join on its runs of capitalised words.
+    """
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return spread(texts), documents.sparkSession.sparkContext.broadcast((_tracked(persons), _starters(texts)))
+    spellings = persons.select(F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name is not null").distinct()
+    rows = spellings.limit(LARGEST_PERSONS + 1).collect()
+    fold = lambda name: plain(" ".join(name.split()))
+    if len(rows) <= LARGEST_PERSONS:
+        tracked = {fold(r["name"]) for r in rows}
+        spread_texts = spread(texts.withColumn("public", F.lit(None).cast("array<string>")))
+    else:
+        del rows
+        folded = F.pandas_udf(lambda s: s.map(fold), "string")
+        known = spellings.select(folded("name").alias("gram")).distinct()
+        longest = known.agg(F.max(F.size(F.split("gram", " ")))).first()[0]
+
+        def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = set()
+                for d, t in zip(batch["doc_id"], batch["text"]):
+                    for run in NAME_RUN.finditer(t):
+                        low = [plain(w) for w in run.group().split(" ")]
+                        out.update((d, " ".join(low[i : i + n])) for i in range(len(low)) for n in range(1, min(longest, len(low) - i) + 1))
+                yield pd.DataFrame(sorted(out), columns=["doc_id", "gram"])
+
+        own = texts.mapInPandas(grams, "doc_id long, gram string").join(known, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("public"))
+        tracked = set()
+        spread_texts = texts.join(own, "doc_id", "left").withColumn("public", F.coalesce("public", F.array().cast("array<string>")))
+    return spread_texts, documents.sparkSession.sparkContext.broadcast((tracked, _starters(texts), _given(texts)))
+
+
+def _spans(finder: Finder, text: str, public) -> list[tuple[int, int, str]]:
+    if public is not None:
+        finder.public(set(public))
+    return finder.spans(text)
 
 
 def personal_data(documents: DataFrame, persons: DataFrame) -> DataFrame:
@@ -256,7 +318,7 @@ def personal_data(documents: DataFrame, persons: DataFrame) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(*shared.value)
         for batch in batches:
-            rows = {(d, kind, t[a:b]) for d, t in zip(batch["doc_id"], batch["text"]) for a, b, kind in finder.spans(t)}
+            rows = {(d, kind, t[a:b]) for d, t, public in zip(batch["doc_id"], batch["text"], batch["public"]) for a, b, kind in _spans(finder, t, public)}
             yield pd.DataFrame(sorted(rows), columns=["doc_id", "kind", "piece"])
 
     return texts.mapInPandas(find, "doc_id long, kind string, piece string").distinct()
@@ -270,8 +332,8 @@ def redacted(documents: DataFrame, persons: DataFrame) -> DataFrame:
         finder = Finder(*shared.value)
         for batch in batches:
             texts, counts = [], []
-            for t in batch["text"]:
-                spans, parts, at = finder.spans(t), [], 0
+            for t, public in zip(batch["text"], batch["public"]):
+                spans, parts, at = _spans(finder, t, public), [], 0
                 for a, b, kind in spans:
                     parts += [t[at:a], PLACEHOLDER[kind]]
                     at = b
