@@ -65,6 +65,60 @@ def test_surname_first_with_a_rare_given_name(spark):
     assert len({got[n] for n in names}) == len(set(names))
 
 
+def test_many_middle_names_take_no_time():
+    import time
+
+    words = [f"bede{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30)]
+    began = time.perf_counter()
+    assert nm.likelihood(["ana", "silva"], ["ana", *words, "silva"]) < 0 and nm.likelihood(["ana", *words[:15], "silva"], ["ana", *words, "silva"]) == pytest.approx(15 * nm.PRIOR["dropped"])
+    assert nm.likelihood(["ana", *words[1:], "outro", "silva"], ["ana", *words, "silva"]) <= nm.IMPOSSIBLE
+    assert time.perf_counter() - began < 0.5
+
+
+@pytest.mark.parametrize("typed,name", [("fetape", "federacao de trabalhadores de pesca"), ("cnbb", "conferencia nacional dos bispos do brasil"), ("embrapa", "empresa brasileira de pesquisa agropecuaria")])
+def test_acronyms(typed, name):
+    v, c = nm.parse(typed, set()), nm.parse(name, set())
+    assert (nm.likelihood(v, c) > nm.IMPOSSIBLE) == bool(nm.keys(v) & nm.keys(c))
+    assert typed == "fetape" or nm.likelihood(v, c) > nm.IMPOSSIBLE
+
+
+def test_first_letter_and_abbreviated_forms_share_a_key():
+    for typed, name in [("bose vivedim nhisubuta", "jose vivedim nhisubuta"), ("ose nhisubuta", "jose vivedim nhisubuta"), ("ojse nhisubuta", "jose nhisubuta"), ("assoc comercial ind", "associacao comercial industrias")]:
+        v, c = nm.parse(typed, set()), nm.parse(name, set())
+        assert nm.likelihood(v, c) > nm.IMPOSSIBLE and nm.keys(v) & nm.keys(c), typed
+
+
+@pytest.mark.parametrize("crowded", [5, 10**6])
+def test_a_surname_of_most_spellings(spark, monkeypatch, crowded):
+    """Split blocks link what whole blocks link."""
+    import random
+
+    monkeypatch.setattr(nm, "CROWDED", crowded)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    givens, middles = [word() for _ in range(40)], [word() for _ in range(40)]
+    people = list({f"{rng.choice(givens)} {rng.choice(middles)} silva" for _ in range(600)})
+    typed = [(i, n) for i, n in enumerate(people) for _ in range(2)] + [(5000 + i, f"{n.split()[0]} {n.split()[1][:-1]} silva") for i, n in enumerate(people[:60])]
+    typed += [(6000 + i, f"{n.split()[0][0]}. {n.split()[1]} silva") for i, n in enumerate(people[60:90])]
+    got = {r["name"]: r["entity"] for r in nm.attribute(spark.createDataFrame(typed, "record long, name string"), spark.createDataFrame([], "id string, name string")).collect()}
+    linked = [n for _, n in typed[-90:-30] if len({got[n]} & {got[p] for p in people}) == 1]
+    assert len(linked) >= 50
+    _SEEN.setdefault("split", got)
+    assert _SEEN["split"] == got
+
+
+_SEEN: dict = {}
+
+
+def test_the_channel_learns_from_known_pairs(spark):
+    same = [(f"p{i}", f"frederico nome{chr(97 + i)} souza", f"fred souza {i}") for i in range(20)]
+    rows = [(i, c, c) for i, c, _ in same] + [(i, "fred souza", "fred souza") for i, _, _ in same]
+    channel = nm._channel(spark.createDataFrame(rows, "id string, form string, name string"))
+    assert channel["nick"] > nm.PRIOR["nick"] and channel["dropped"] > nm.PRIOR["dropped"] and channel["typo"] < channel["nick"]
+    none = nm._channel(spark.createDataFrame([], "id string, form string, name string"))
+    assert all(none[k] == pytest.approx(nm.PRIOR[k]) for k in none)
+
+
 def test_attribution_of_nothing(spark):
     empty = spark.createDataFrame([], "record long, name string"), spark.createDataFrame([], "id string, name string")
     assert nm.attribute(*empty).count() == 0
@@ -151,6 +205,30 @@ def test_personal_data(spark):
     assert "A moradora [NOME], residente na [ENDEREÇO], bairro" in out[1] and "Ana Lima falou" in out[1] and "Hospital José Zumutica" in out[1] and out[3] == ""
 
 
+def test_public_persons_beyond_the_limit_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, TEXT), (2, "O professor Paulo Lima chegou. A moradora Ana Lima saiu."), (3, None)], "doc_id long, text string")
+    persons = spark.createDataFrame([("Ana Lima", ["Ana Lima"]), ("Paulo  Lima", None), (None, None)], "name string, aliases array<string>")
+    whole = sorted(map(tuple, pv.personal_data(docs, persons).collect()))
+    monkeypatch.setattr(pv, "LARGEST_PERSONS", 1)
+    assert sorted(map(tuple, pv.personal_data(docs, persons).collect())) == whole and all(r[0] == 1 for r in whole)
+
+
+def test_given_names_are_learned_from_how_people_are_introduced(spark):
+    """Names that no list has, in sentences that no pattern of the module was made from."""
+    names = [f"{g} {s}" for g in ("Tainara", "Ubirajara", "Queziane") for s in ("Mobrata", "Selvique", "Tundreva", "Caruzal", "Pelvado", "Gomira", "Rastibe")]
+    rows = [(i, f"Ontem a vizinha {n} foi ouvida na praça.") for i, n in enumerate(names)]
+    held = ["Quem viu tudo foi {}, que passava ali.", "O carro pertence a {} desde maio.", "Segundo a polícia, {} não quis falar."]
+    rows += [(100 + i, t.format(n)) for i, (n, t) in enumerate((n, t) for n in names for t in held)] + [(900, "O Complexo Tundreva e a Serra Selvique ficam longe.")]
+    got = {(r["doc_id"], r["piece"]) for r in pv.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "name string, aliases array<string>")).where("kind = 'name'").collect()}
+    want = {(100 + i, n) for i, (n, _) in enumerate((n, t) for n in names for t in held)}
+    assert len(want & got) >= 0.95 * len(want) and not any(d == 900 for d, _ in got)
+
+
+@pytest.mark.parametrize("text", ["nome [ at ] host.com", "nome [at ] host.com", "nome ( at ) host.com", "nome(arroba)host.com"])
+def test_hidden_addresses(text):
+    assert [k for *_, k in pv.Finder(set(), set()).spans(f"escreva a {text} hoje")] == ["email"]
+
+
 def test_very_long_text_ends():
     finder = pv.Finder({"ana lima"}, set())
     assert finder.spans("Rua " + "A" * 50_000) == [] and finder.spans("a" * 100_000 + "@") == [] and finder.spans("Maria " * 3000 + ".") is not None

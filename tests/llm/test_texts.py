@@ -105,17 +105,44 @@ def test_quotas_respect_caps():
 
 
 def test_splitting_tree_is_exact():
-    parts = mixing.split_blocks({"a": 37, "b": 5, "c": 0}, 7, 3)
-    assert len(parts) == 7 and sum(p["a"] for p in parts) == 37 and sum(p["b"] for p in parts) == 5
-    sizes = [sum(p.values()) for p in parts]
-    assert max(sizes) - min(sizes) <= 2 and parts == mixing.split_blocks({"a": 37, "b": 5, "c": 0}, 7, 3)
+    node = (0, 7, {"a": (0, 37), "b": (0, 5)})
+    parts = list(mixing.tree(node, 3))
+    assert [p[0] for p in parts] == list(range(7)) and all(p[1] == 1 for p in parts) and parts == list(mixing.tree(node, 3))
+    for s, n in (("a", 37), ("b", 5)):
+        assert sorted(x for *_, q in parts if s in q for x in range(q[s][0], q[s][0] + q[s][1])) == list(range(n))
+    sizes = [sum(n for _, n in q.values()) for *_, q in parts]
+    assert max(sizes) - min(sizes) <= 2
+    above = list(mixing.tree(node, 3, 2))
+    assert [leaf for n in above for leaf in mixing.tree(n, 3)] == parts
+
+
+def test_a_large_tree_has_no_empty_shard():
+    counts = {f"s{i}": (0, 32 * 100_000 // 20) for i in range(20)}
+    top = list(mixing.tree((0, 100_000, counts), 1, -(-100_000 // 256)))
+    assert len(top) <= 512 and sum(n[1] for n in top) == 100_000
+    some = [leaf for n in top[:4] for leaf in mixing.tree(n, 1)]
+    assert all(28 <= sum(k for _, k in q.values()) <= 36 for *_, q in some)
+
+
+@pytest.mark.parametrize("level", [2, 1024])
+def test_last_blocks_equal_running_sums(spark, monkeypatch, level):
+    monkeypatch.setattr(mixing, "LEVEL", level)
+    rng = random.Random(4)
+    rows = [(s, rng.randint(0, 99), rng.randint(1, 9)) for s in "ab" for _ in range(400)]
+    got = mixing._last_blocks(spark.createDataFrame(rows, "source string, place long, tokens long"), {"a": 100, "b": 100}, {"a": 777.0, "b": 0.0})
+    left, at = 777, 0
+    sums = [sum(t for s, p, t in rows if s == "a" and p == k) for k in range(100)]
+    while left > sums[at]:
+        left -= sums[at]
+        at += 1
+    assert got == {"a": (at, left)}
 
 
 def test_mixture_reaches_shares_within_a_document(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice(["big"] * 8 + ["small"]), rng.randint(5, 60)) for i in range(3000)] + [(9001, None, 10), (9002, "untargeted", 50)]
     targets = spark.createDataFrame([("big", 0.7, 1), ("small", 0.2, 4), ("absent", 0.1, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), targets, blocks=16, shard_tokens=5000).cache()
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), targets, shard_tokens=5000).cache()
     size = {r["source"]: r["t"] for r in got.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     total = sum(size.values())
     assert set(size) == {"big", "small"} and abs(size["big"] / total - 7 / 9) < 0.005
