@@ -393,7 +393,7 @@ def content_words(c: Corpus) -> DataFrame:
 
 @query
 def decode_entities(c: Corpus) -> DataFrame:
-    return c.docs.select("doc_id", tx.decode("text").alias("text"))
+    return tx.decoded(c.docs.select("doc_id", "text"))
 
 
 @query
@@ -651,7 +651,7 @@ def token_sizes(c: Corpus) -> DataFrame:
 
 @query
 def scored_texts(c: Corpus) -> DataFrame:
-    return wn.scored_texts(c.doc_persons, c.docs, c.persons, 64)
+    return ex.scored_texts(c.doc_persons, c.docs, c.persons, 64)
 
 
 @query

@@ -13,6 +13,12 @@ def test_approx_tokens(text, tokens):
     assert wn.approx_tokens(text) == tokens
 
 
+def test_token_estimate_in_the_jvm_equals_the_twin(spark):
+    texts = ["", "casa", "reformas- STF Brasileiro 2026 a1b2", "https://x.y/Abc?d=1", "É só “isso”\u00a0ok_foo", "#tag @a.b ÇÃO x", "  "]
+    got = [r["tokens"] for r in wn.token_sizes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [wn.approx_tokens(t) for t in texts]
+
+
 def test_first_mention_maps_back_to_the_text():
     text = "Não: a ÁNA LIMA falou"
     assert text[slice(*wn.first_mention(text, PERSONS, "ana"))] == "ÁNA LIMA" and wn.first_mention(text, PERSONS, "rui") is None
