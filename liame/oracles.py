@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from liame.oracles_text import SQL as TEXTS
+
 A, B = "jose-nhusabise", "frederico-vivedim-nhisubuta"
 NOW = "timestamp '2026-09-01 00:00:00'"
 BR = "country is distinct from 'pt'"
@@ -150,17 +152,9 @@ f as (select * from o where k = 1),
 l as (select uri, arg_min(text, (-length(text), k)) as text, max(length(text)) as longest, count(*) as arrivals, arg_min(domain, k) filter (where domain is not null) as domain,
   arg_min(country, k) filter (where country is not null) as country, arg_min(tone, k) filter (where tone is not null) as tone,
   max(reach_likes) as reach_likes, max(reach_reposts) as reach_reposts, max(reach_replies) as reach_replies, max(reach_quotes) as reach_quotes from o group by 1)"""
-def _stopwords() -> str:
-    from liame.functions.text import STOPWORDS
-
-    return ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
-
-
-FOLD = "lower(translate(regexp_replace(text, '\\p{M}', '', 'g'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyaaaaaaceeeeiiiinooooouuuuy'))"
-UNLINKED = FOLD.replace("regexp_replace(text,", "regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+', ' ', 'g'), '[#@]\\S+', ' ', 'g'),")
 CLAMP = "least(greatest({}, -1.0), 1.0)"
 
-SQL: dict[str, str] = {
+SQL: dict[str, str] = TEXTS | {
     "people": "select id, name, len(aliases) as n_aliases, party, office, uf from persons",
     "pmi_nodes": f"{MAP} select {SHOWN} from x where count >= 2 order by count desc, term, kind limit 40",
     "pmi_nodes_by_surprise": f"{MAP} select {SHOWN} from x where count >= 3 order by {RANK} desc, x.term, kind limit 40",
@@ -220,9 +214,6 @@ select term, kind, xa.count as a_count, {r2('xa.pmi')} as a_pmi, {r2('xa.tone')}
     "persistence_stats": f"{PERSISTENCE} select person_id, term, kind, (start - coalesce(gap, -1))::bigint as streak, (fall - peak)::bigint as half_life, weeks_present, total from gap join fall using (person_id, term, kind) join tot using (person_id, term, kind)",
     "persistence_series": f"{PERSISTENCE} select person_id, term, kind, slot, count from z",
     "persistence_level": f"{term_weeks(2)}, j as (select * from g where person_id = '{A}') select term, kind, week, greatest(1, ceil(count / (select max(count) from j)::double * 5))::bigint as level from j",
-    "normalize_text": f"select doc_id, {FOLD} as folded from docs",
-    "hashtags": f"select distinct doc_id, {FOLD.replace('text', 'w')} as term from (select doc_id, unnest(regexp_extract_all(text, '#([\\p{{L}}\\p{{N}}_]+)', 1)) as w from docs)",
-    "content_words": f"select distinct doc_id, w as term from (select doc_id, unnest(string_split_regex({UNLINKED}, '[^a-z0-9]+')) as w from docs) where length(w) >= 4 and not regexp_full_match(w, '\\d+') and not regexp_full_match(w, '(ha|he|hu|hi|rs|ks)+') and not regexp_matches(w, '" + "|".join(ch * 3 for ch in "abcdefghijklmnopqrstuvwxyz0123456789") + f"') and w not in ({_stopwords()})",
     "domain_of": "select doc_id, lower(regexp_replace(regexp_extract(uri, '^[a-z]+://([^/?#]+)', 1), '^www\\.', '')) as domain from docs",
     "country_of": "select doc_id, case when domain like '%.pt' then 'pt' when domain like '%.br' then 'br' end as country from docs",
     "truncate_text": "select doc_id, case when length(text) <= 200 then text when regexp_extract(left(text, 201), '(?s)^(.*)\\s\\S*$', 1) <> '' then regexp_extract(left(text, 201), '(?s)^(.*)\\s\\S*$', 1) else left(text, 200) end as text from docs",
