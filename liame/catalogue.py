@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liame.clock import local_day
-from liame.corpus import Corpus, Person, corpus
+from liame.corpus import Corpus, Person
 from liame.functions import text as tx
 from liame.functions import windows as wn
 from liame.functions.scoring import round2
@@ -24,6 +24,7 @@ from liame.operators.scope import Scope, about, in_scope, in_week, on_day, track
 from liame.oracles import SQL
 from liame.plans import build as bd
 from liame.plans import router as rt
+from liame.plans.layout import once, served
 from liame.plans.lineage import cut
 from liame.streaming import ingest as ig
 
@@ -42,7 +43,7 @@ def query(f: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
     """Registers a function of the corpus as a query under its name."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return f(corpus(spark, folder))
+        return f(served(spark, folder))
 
     QUERIES[f.__name__], OF_CORPUS[f.__name__] = run, f
     return f
@@ -461,20 +462,41 @@ def build_person_terms(c: Corpus) -> DataFrame:
     return bd.person_terms(c, 21).select("days", "source", "person_id", "term", "kind", "c_pt", "c_t", round2(F.col("tone")).alias("tone"), "reach")
 
 
-@query
-def fast_nodes(c: Corpus) -> DataFrame:
-    return rt.routed_nodes(c, bd.person_terms(c, 21), bd.scopes(c, 21), c.person(A), WINDOW, sort="pmi")
+def aggregates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(graph_terms, graph_scopes) of a folder, written once and read from there."""
+    path = once(spark, folder, "aggregates", lambda path: bd.write_aggregates(served(spark, folder), path))
+    return spark.read.parquet(f"{path}/graph_terms"), spark.read.parquet(f"{path}/graph_scopes")
 
 
-@query
-def fast_equals_live(c: Corpus) -> DataFrame:
+def fast_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    c = served(spark, folder)
+    return rt.routed_nodes(c, *aggregates(spark, folder), c.person(A), WINDOW, sort="pmi")
+
+
+def fast_equals_live(spark: SparkSession, folder: str) -> DataFrame:
     """Rows in which the stored and the live map of a person differ: none."""
+    c = served(spark, folder)
     p = c.person(B)
-    fast = tm.nodes(rt.stored_terms(bd.person_terms(c, 21), bd.scopes(c, 21), p, WINDOW), sort="pmi", limit=100)
+    fast = tm.nodes(rt.stored_terms(*aggregates(spark, folder), p, WINDOW), sort="pmi", limit=100)
     live = tm.graph_nodes(c, p, WINDOW, sort="pmi", limit=100)
     return fast.exceptAll(live).unionByName(live.exceptAll(fast)).select("term", "kind", "count")
 
 
+def stored_scopes(spark: SparkSession, folder: str) -> DataFrame:
+    """The scopes of one window as they were written."""
+    rows = aggregates(spark, folder)[1].where("days = 21")
+    return rows.select(F.col("days").cast("long").alias("days"), "source", "person_id", "docs", "tracked", "about")
+
+
+def stored_person_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The person terms of one window as they were written."""
+    rows = aggregates(spark, folder)[0].where("days = 21")
+    return rows.select(F.col("days").cast("long").alias("days"), "source", "person_id", "term", "kind", "c_pt", "c_t", round2(F.col("tone")).alias("tone"), "reach")
+
+
+QUERIES |= {f.__name__: f for f in (fast_nodes, fast_equals_live, stored_scopes, stored_person_terms)}
+
+
 @query
 def outlet_terms(c: Corpus) -> DataFrame:
     return ot.outlet_terms(c, c.person(A), WINDOW)

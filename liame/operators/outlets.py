@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liame.clock import ANCHOR, before
+from liame.clock import ANCHOR
 from liame.corpus import Corpus, Person
 from liame.functions.scoring import is_name, pmi, rank, round2
-from liame.operators.scope import Scope, about, in_scope, one_of, outlet_domain, tracked
+from liame.operators.scope import Scope, about, in_scope, one_of, outlet_domain, since, tracked
 from liame.operators.terms import term_totals, totals
 
 
@@ -26,7 +26,7 @@ def labelled(rows: DataFrame, leans: DataFrame) -> DataFrame:
 
 def tone_matrix(c: Corpus, days: int = 21, least: int = 3, at: str = ANCHOR) -> DataFrame:
     """Mean tone per person and domain, over documents with both."""
-    docs = c.docs.where((F.col("published_at") >= before(days, at)) & F.col("domain").isNotNull() & F.col("tone").isNotNull()).select("doc_id", "domain", "tone")
+    docs = since(c.docs, days, at).where(F.col("domain").isNotNull() & F.col("tone").isNotNull()).select("doc_id", "domain", "tone")
     rows = docs.join(c.doc_persons, "doc_id").join(c.persons.select(F.col("id").alias("person_id")), "person_id", "left_semi")
     return rows.groupBy("person_id", "domain").agg(round2(F.avg("tone")).alias("tone"), F.count("tone").alias("n")).where(F.col("n") >= least)
 
@@ -53,7 +53,7 @@ def testimony(c: Corpus, scores: DataFrame, person: Person, days: int = 21, sour
     ``scores`` has (doc_id, person_id, score). Returns (level, source, domain,
     score, n); a mean without scores stays only at the overall level.
     """
-    docs = c.docs.where(F.col("published_at") >= before(days, at))
+    docs = since(c.docs, days, at)
     own = one_of(F.col("source"), sources_)
     docs = docs if own is None else docs.where(own)
     rows = docs.join(c.doc_persons.where(F.col("person_id") == person.id), "doc_id").join(scores, ["doc_id", "person_id"]).select("source", outlet_domain().alias("domain"), "score")

@@ -55,9 +55,18 @@ def resolve_domains(scope: Scope, leans: dict[str, str]) -> tuple[str, ...] | No
     return tuple(d for d in labelled if scope.domains is None or d in scope.domains)
 
 
+DAY = "published_day"  # partition column of stored documents
+
+
+def since(docs: DataFrame, days: int, at: str = ANCHOR) -> DataFrame:
+    """Documents of the last ``days``; stored ones are read from their days' files only."""
+    docs = docs.where(F.col("published_at") >= before(days, at))
+    return docs.where(F.col(DAY) >= F.to_date(before(days, at))) if DAY in docs.columns else docs
+
+
 def in_scope(docs: DataFrame, scope: Scope, leans: dict[str, str] | None = None) -> DataFrame:
     """Documents in scope; only filters that are set reach the plan, so they reach the scan."""
-    docs = docs.where(F.col("published_at") >= before(scope.days, scope.at))
+    docs = since(docs, scope.days, scope.at)
     for condition in (
         one_of(F.col("source"), scope.sources),
         one_of(F.col("domain"), resolve_domains(scope, leans or {})),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from liame.clock import ANCHOR, ZONE, anchor, before, day_start, folded_day, local_day
 from liame.corpus import Corpus, Person
 from liame.functions.scoring import is_name, pmi, rank, round2
-from liame.operators.scope import Scope, about, country_filter, in_scope, one_of, tracked
+from liame.operators.scope import Scope, about, country_filter, in_scope, one_of, since, tracked
 
 DAY = 86_400 * 1_000_000
 
@@ -127,7 +127,7 @@ def term_weeks(c: Corpus, weeks: int = 2, universe_days: int = 21, least: int =
     c_t = c.doc_terms.join(universe, "doc_id").groupBy("term_id").agg(F.count(F.lit(1)).alias("c_t"))
     n = universe.agg(F.count(F.lit(1)).alias("n"))
     week = F.least(monday, F.to_date(F.date_trunc("week", local_day(F.col("published_at")))))
-    docs = c.docs.where(br).withColumn("week", week).where(F.col("week") >= F.date_sub(monday, 7 * (weeks - 1))).select("doc_id", "week").join(c.doc_persons, "doc_id")
+    docs = since(c.docs, 7 * weeks + 1, at).where(br).withColumn("week", week).where(F.col("week") >= F.date_sub(monday, 7 * (weeks - 1))).select("doc_id", "week").join(c.doc_persons, "doc_id")
     n_p = docs.groupBy("person_id", "week").agg(F.count(F.lit(1)).alias("n_p"))
     counts = c.doc_terms.join(docs, "doc_id").groupBy("person_id", "week", "term_id").agg(F.count(F.lit(1)).alias("c_pt")).where(F.col("c_pt") >= least)
     rows = counts.join(c_t, "term_id").join(kinds, "term_id").join(n_p, ["person_id", "week"]).crossJoin(F.broadcast(n))

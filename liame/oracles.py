@@ -220,6 +220,8 @@ select term, kind, xa.count as a_count, {r2('xa.pmi')} as a_pmi, {r2('xa.tone')}
     "build_universe": f"with {BASE}, {UNIVERSE} select source, kind, term, c_t from un join v using (term_id)",
     "build_scopes": f"with {BASE}, {UNIVERSE}, {BUILT_SCOPES} select * from gs",
     "build_person_terms": f"{PERSON_TERMS} select * from g",
+    "stored_scopes": f"with {BASE}, {UNIVERSE}, {BUILT_SCOPES} select * from gs",
+    "stored_person_terms": f"{PERSON_TERMS} select * from g",
     "fast_nodes": f"{MAP} select {SHOWN} from x where count >= 2 order by {RANK} desc, x.term, kind limit 40",
     "fast_equals_live": "select ''::varchar as term, ''::varchar as kind, 0::bigint as count where false",
     "outlet_terms": f"{OUTLETS} select * from sets",

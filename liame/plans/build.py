@@ -6,7 +6,9 @@ A reader below the kept ranks gets the same rows as from the live statements;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liame.clock import ANCHOR
@@ -14,6 +16,7 @@ from liame.corpus import Corpus
 from liame.functions.scoring import pmi, rank, signature_floor
 from liame.functions.text import folded
 from liame.operators.scope import Scope, in_scope, outlet_domain, tracked
+from liame.plans.lineage import cut
 
 SOURCES = ("bluesky", "camara", "gdelt", "gkg", "gnews", "juridico", "nicho", "oficial", "rss", "senado")
 DAYS = (7, 21)
@@ -75,16 +78,18 @@ def person_terms(c: Corpus, days: int, at: str = ANCHOR, top: int = TOP) -> Data
         .withColumn("key", rank(F.col("pmi"), F.col("c_pt")))
         .withColumn("sure", F.col("c_pt") >= signature_floor(F.col("about")))
     )
-    place = lambda *by: Window.partitionBy("source", "person_id", *by)
-    ranked = scored.withColumn("by_count", F.row_number().over(place("kind").orderBy(F.desc("c_pt"), "term")))
-    for m in LEAST:
-        ranked = ranked.withColumn(f"m{m}", F.col("c_pt") >= m).withColumn(f"by_{m}", F.row_number().over(place("kind", f"m{m}").orderBy(F.desc("key"), "term")))
-    ranked = ranked.withColumn("by_signature", F.row_number().over(place("sure").orderBy(F.desc("pmi"), "term", "kind")))
-    keep = F.col("by_count") <= top
-    for m in LEAST:
-        keep = keep | (F.col(f"m{m}") & (F.col(f"by_{m}") <= top))
-    keep = keep | (F.col("sure") & (F.col("by_signature") <= 5))
-    return ranked.where(keep).select(F.lit(days).cast("long").alias("days"), "source", "person_id", "term", "kind", "c_pt", "c_t", "tone", "reach")
+    # Each rank is a branch of its own, so that Spark limits every group before it moves: the hottest person brings a few rows a task.
+    scored = cut(scored.select("source", "person_id", "term_id", "term", "kind", "c_pt", "c_t", "tone", "reach", "pmi", "key", "sure"))
+
+    def best(rows: DataFrame, by: list[str], limit: int, *order: Column) -> DataFrame:
+        ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("source", "person_id", *by).orderBy(*order)))
+        return ranked.where(F.col("rn") <= limit).select("source", "person_id", "term_id")
+
+    kept = [best(scored, ["kind"], top, F.desc("c_pt"), F.col("term"))]
+    kept += [best(scored.where(F.col("c_pt") >= m), ["kind"], top, F.desc("key"), F.col("term")) for m in LEAST]
+    kept.append(best(scored.where("sure"), [], 5, F.desc("pmi"), F.col("term"), F.col("kind")))
+    keys = reduce(DataFrame.unionByName, kept).distinct()
+    return scored.join(keys, ["source", "person_id", "term_id"], "left_semi").select(F.lit(days).cast("long").alias("days"), "source", "person_id", "term", "kind", "c_pt", "c_t", "tone", "reach")
 
 
 def outlet_terms(c: Corpus, days: int, at: str = ANCHOR, top: int = 40, floor: int = 3) -> DataFrame:
@@ -103,6 +108,18 @@ def outlet_terms(c: Corpus, days: int, at: str = ANCHOR, top: int = 40, floor: i
     return ranked.where(F.col("rn") <= top).select(F.lit(days).cast("long").alias("days"), "person_id", "domain", "kind", "term", "c_pt")
 
 
-def write_window(rows: DataFrame, path: str) -> None:
-    """Overwrites only the windows that ``rows`` holds."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("days").parquet(path)
+def write_window(rows: DataFrame, path: str, by: tuple[str, ...] = ("days",)) -> None:
+    """Overwrites only the partitions (windows, weeks) that ``rows`` holds."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def write_aggregates(c: Corpus, path: str, at: str = ANCHOR) -> None:
+    """Scopes and person terms of both windows, by window and source, so that a request reads one partition."""
+    for days in DAYS:
+        write_window(scopes(c, days, at), f"{path}/graph_scopes", ("days", "source"))
+        write_window(person_terms(c, days, at), f"{path}/graph_terms", ("days", "source"))
+
+
+def write_weeks(weeks: DataFrame, path: str) -> None:
+    """Weekly history: the weeks of ``weeks`` are written anew, older ones stay as they are."""
+    write_window(weeks, path, ("week",))

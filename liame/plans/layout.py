@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liame.corpus import Corpus
+from liame.corpus import Corpus, corpus
+from liame.operators.scope import DAY
+from liame.plans.lineage import checkpoint_dir
 
 
-def store(c: Corpus, path: str, files: int = 64) -> None:
-    """Writes a corpus: documents by day of publication, junctions in ``files`` ranges of doc_id, dimensions as they are.
+def store(c: Corpus, path: str, files: int | None = None) -> None:
+    """Writes a corpus: documents by day of publication, junctions in ranges of doc_id, dimensions as they are.
 
     A window then reads only its days; a join on doc_id skips row groups by
-    their minimum and maximum.
+    their minimum and maximum. ``files`` of a junction: by its size, if not given.
     """
-    day = F.to_date("published_at").alias("day")
-    c.docs.select("*", day).repartition("day").sortWithinPartitions("doc_id").write.mode("overwrite").partitionBy("day").parquet(f"{path}/docs")
+    c.docs.withColumn(DAY, F.to_date("published_at")).repartition(F.col(DAY)).sortWithinPartitions("doc_id").write.mode("overwrite").partitionBy(DAY).parquet(f"{path}/docs")
     for name in ("doc_persons", "doc_terms", "candidates"):
         rows: DataFrame = getattr(c, name)
-        rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/{name}")
+        spread = rows.repartitionByRange(files, "doc_id") if files else rows.repartitionByRange("doc_id")
+        spread.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/{name}")
     for name in ("terms", "persons", "phrases"):
         getattr(c, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -29,9 +34,30 @@ def stored(spark: SparkSession, path: str) -> Corpus:
     return Corpus(read("docs"), read("doc_persons"), read("doc_terms"), read("terms"), read("persons"), read("candidates"), read("phrases"))
 
 
-def since_day(docs: DataFrame, first_day: str) -> DataFrame:
-    """Partition filter for windows over stored documents."""
-    return docs.where(F.col("day") >= F.lit(first_day).cast("date"))
+def once(spark: SparkSession, folder: str, what: str, write: Callable[[str], None]) -> str:
+    """The place of something derived from a folder's tables, written on first use.
+
+    It lies in the session's shared checkpoint folder, under the application
+    and a digest of the tables' lengths and times, so changed tables are
+    derived anew; the mark that it is whole is written last.
+    """
+    checkpoint_dir(spark)
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    at = hadoop.Path(folder)
+    files = sorted((x.getPath().getName(), x.getModificationTime(), x.getLen()) for x in at.getFileSystem(conf).listStatus(at))
+    digest = sha256(repr((folder, files)).encode()).hexdigest()[:16]
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/derived-{spark.sparkContext.applicationId}/{digest}/{what}"
+    mark = hadoop.Path(f"{root}/_WHOLE")
+    fs = mark.getFileSystem(conf)
+    if not fs.exists(mark):
+        write(root)
+        fs.create(mark, True).close()
+    return root
+
+
+def served(spark: SparkSession, folder: str) -> Corpus:
+    """The corpus of a folder, stored once per application and read from there."""
+    return stored(spark, once(spark, folder, "corpus", lambda path: store(corpus(spark, folder), path)))
 
 
 def sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
