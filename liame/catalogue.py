@@ -24,7 +24,7 @@ from liame.operators.scope import Scope, about, in_scope, in_week, on_day, track
 from liame.oracles import SQL
 from liame.plans import build as bd
 from liame.plans import router as rt
-from liame.plans.layout import once, served
+from liame.plans.layout import once, opened, served
 from liame.plans.lineage import cut
 from liame.streaming import ingest as ig
 
@@ -465,7 +465,7 @@ def build_person_terms(c: Corpus) -> DataFrame:
 def aggregates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(graph_terms, graph_scopes) of a folder, written once and read from there."""
     path = once(spark, folder, "aggregates", lambda path: bd.write_aggregates(served(spark, folder), path))
-    return spark.read.parquet(f"{path}/graph_terms"), spark.read.parquet(f"{path}/graph_scopes")
+    return opened(spark, path, lambda spark, path: (spark.read.parquet(f"{path}/graph_terms"), spark.read.parquet(f"{path}/graph_scopes")))
 
 
 def fast_nodes(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from hashlib import sha256
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from liame.operators.scope import DAY
 from liame.plans.lineage import checkpoint_dir
 
 
+T = TypeVar("T")
+
+
 def store(c: Corpus, path: str, files: int | None = None) -> None:
     """Writes a corpus: documents by day of publication, junctions in ranges of doc_id, dimensions as they are.
 
@@ -57,7 +61,18 @@ def once(spark: SparkSession, folder: str, what: str, write: Callable[[str], Non
 
 def served(spark: SparkSession, folder: str) -> Corpus:
     """The corpus of a folder, stored once per application and read from there."""
-    return stored(spark, once(spark, folder, "corpus", lambda path: store(corpus(spark, folder), path)))
+    return opened(spark, once(spark, folder, "corpus", lambda path: store(corpus(spark, folder), path)), stored)
+
+
+_open: dict[tuple, object] = {}
+
+
+def opened(spark: SparkSession, path: str, read: Callable[[SparkSession, str], T]) -> T:
+    """What ``read`` gives for a place that no longer changes; its schemas are looked up once."""
+    key = (id(spark), path)
+    if key not in _open:
+        _open[key] = read(spark, path)
+    return _open[key]
 
 
 def sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
