@@ -18,10 +18,12 @@ from liame.operators import extract as ex
 from liame.operators import networks as nw
 from liame.operators import outlets as ot
 from liame.operators import post as po
+from liame.operators import routes as rs
 from liame.operators import series as sr
 from liame.operators import terms as tm
 from liame.operators.scope import Scope, about, in_scope, in_week, on_day, tracked, with_person, with_term
 from liame.oracles import SQL
+from liame.oracles_routes import SQL as ROUTES
 from liame.plans import build as bd
 from liame.plans import router as rt
 from liame.plans.layout import once, opened, served
@@ -36,7 +38,7 @@ ARRIVAL = ["collected_at", "doc_id"]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 OF_CORPUS: dict[str, Callable[[Corpus], DataFrame]] = {}
-ORACLES: dict[str, str] = SQL
+ORACLES: dict[str, str] = SQL | ROUTES
 
 
 def query(f: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
@@ -520,9 +522,6 @@ def outlet_fields(c: Corpus) -> DataFrame:
     return nw.communities(nodes, edges, ["person_id"])
 
 
-OUTLETS = ("days", "person_id")
-
-
 @query
 def build_outlet_terms(c: Corpus) -> DataFrame:
     """Of every person in both windows, as the next two; ``outlet_terms`` and its kin are the request for one."""
@@ -532,42 +531,26 @@ def build_outlet_terms(c: Corpus) -> DataFrame:
 
 @query
 def build_outlet_neighbors(c: Corpus) -> DataFrame:
-    edges = ot.jaccard(cut(build_outlet_terms(c)), OUTLETS)
-    return ot.neighbours(edges, keys=OUTLETS).withColumn("rn", F.col("rn").cast("long"))
+    return bd.outlet_networks(c)[0].withColumn("rn", F.col("rn").cast("long"))
 
 
 @query
 def build_outlet_fields(c: Corpus) -> DataFrame:
-    sets = cut(build_outlet_terms(c))
-    nodes = sets.select(*OUTLETS, F.col("domain").alias("node")).distinct()
-    edges = ot.jaccard(sets, OUTLETS).select(*OUTLETS, F.col("a").alias("s"), F.col("b").alias("t"), F.col("similarity").alias("count"))
-    return nw.communities(nodes, edges, [*OUTLETS])
+    return bd.outlet_networks(c)[1]
 
 
 GRAPH = ("days", "source", "person_id")
 
 
-def _kept(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the kept terms of every window, source and person."""
-    kept, docs = None, None
-    for days in bd.DAYS:
-        terms = bd.person_terms(c, days).join(c.terms, ["kind", "term"]).select(*GRAPH, "term_id", F.concat_ws(":", "kind", "term").alias("node"))
-        named = in_scope(c.docs, Scope(days)).select("doc_id", "source").join(c.doc_persons, "doc_id")
-        named = named.select("doc_id", F.lit(days).cast("long").alias("days"), F.explode(F.array("source", F.lit("all"))).alias("source"), "person_id")
-        kept, docs = (kept.unionByName(terms), docs.unionByName(named)) if kept is not None else (terms, named)
-    kept = cut(kept)
-    return kept.select(*GRAPH, "node"), nw.community_edges(c.doc_terms, docs, kept, GRAPH)
-
-
 @query
 def term_communities(c: Corpus) -> DataFrame:
-    return nw.communities(*_kept(c), [*GRAPH])
+    return nw.communities(*bd.kept_graphs(c), [*GRAPH])
 
 
 @query
 def community_ranking(c: Corpus) -> DataFrame:
     one = (F.col("days") == WINDOW.days) & (F.col("source") == "all") & (F.col("person_id") == A)
-    nodes, edges = (x.where(one) for x in _kept(c))
+    nodes, edges = (x.where(one) for x in bd.kept_graphs(c))
     return po.community_ranking(nw.communities(nodes, edges, [*GRAPH]))
 
 
@@ -679,3 +662,68 @@ def scored_texts(c: Corpus) -> DataFrame:
 @query
 def export_docs(c: Corpus) -> DataFrame:
     return ex.exported(c.docs, c.doc_persons).select("doc_id", "source", "uri", F.array_join("persons", ",").alias("persons"))
+
+
+# The routes, asked with parameters other than their defaults.
+GRAPH_ASKED = {"days": "7", "kind": "word,phrase", "min": "2", "sort": "pmi", "limit": "20", "testimony": "1", "country": "all"}
+LEFT = {"days": "7", "lean": "left,right", "country": "all"}
+
+
+def extras(spark: SparkSession, folder: str) -> rs.Extras:
+    """Scores, views and leans of the test tables, with the aggregates that are written for them."""
+    c = served(spark, folder)
+    terms, scopes = aggregates(spark, folder)
+    path = once(spark, folder, "networks", lambda path: bd.write_networks(served(spark, folder), path))
+    near, fields, communities = opened(spark, path, lambda spark, path: [spark.read.parquet(f"{path}/{n}") for n in ("outlet_neighbors", "outlet_fields", "term_communities")])
+    path = once(spark, folder, "weeks", lambda path: bd.write_weeks(sr.term_weeks(served(spark, folder), 12, tokens=bd.person_tokens(c)), path))
+    weeks = opened(spark, path, lambda spark, path: spark.read.parquet(path))
+    return rs.Extras(scores(c).withColumn("method", F.lit("stub")), views(c), terms, scopes, communities, fields, near, weeks, LEANS)
+
+
+def _asked(route: str, relation: str, raw: dict[str, str], shown: Callable[[DataFrame], DataFrame] | None = None, person: str = A) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rows = rs.answer(served(spark, folder), route, raw, extras(spark, folder), person)[relation]
+        return shown(rows) if shown else rows
+
+    return run
+
+
+def _joined(column: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.withColumn(column, F.array_join(column, ","))
+
+
+QUERIES |= {
+    "route_people": _asked("people", "people", {}, _joined("aliases")),
+    "route_graph_stats": _asked("graph", "stats", GRAPH_ASKED),
+    "route_graph_nodes": _asked("graph", "nodes", GRAPH_ASKED),
+    "route_graph_links": _asked("graph", "links", GRAPH_ASKED),
+    "route_graph_signature": _asked("graph", "signature", GRAPH_ASKED),
+    "route_graph_outlets": _asked("graph", "outlets", LEFT),
+    "route_graph_communities": _asked("graph", "nodes", {"communities": "1", "limit": "200"}, lambda rows: rows.where("community is not null").select("kind", "term")),
+    "route_sources": _asked("sources", "sources", {}, lambda rows: rows.withColumn("neighbors", F.array_join("neighbors.neighbor", ",")).drop("field")),
+    "route_sources_lean": _asked("sources", "sources", LEFT, lambda rows: rows.select("domain", "source", "docs", "lean", F.col("field").isNull().alias("no_field"))),
+    "route_docs_total": _asked("docs", "total", {"term": "Governo", "kind": "word", "week": "2026-08-26"}),
+    "route_docs_page": _asked("docs", "page", {"week": "2026-08-26", "limit": "18", "offset": "50"}),
+    "route_docs_with": _asked("docs", "page", {"with": B, "day": "2026-08-30", "limit": "100"}, lambda rows: rows.select("doc_id", "uri")),
+    "route_timeline": _asked("timeline", "timeline", {"bucket": "day", "term": "governo", "days": "7", "source": "rss,gnews"}),
+    "route_week_about": _asked("week", "about", {"source": "rss"}),
+    "route_week_terms": _asked("week", "terms", {"kind": "word", "limit": "5", "country": "all"}),
+    "route_week_testimony": _asked("week", "testimony", {"testimony": "1", "source": "rss"}),
+    "route_rising_terms": _asked("rising", "terms", {"kind": "word,hashtag", "min": "2", "limit": "12"}),
+    "route_rising_present": _asked("rising", "present", {"kind": "word,hashtag", "min": "2", "limit": "12"}),
+    "route_rising_about": _asked("rising", "about", {"kind": "word,hashtag", "min": "2", "limit": "12"}),
+    "route_testimony": _asked("testimony", "testimony", {"days": "7", "source": "rss,gkg", "min": "1"}),
+    "route_lenses": _asked("lenses", "terms", {"a": "source:rss", "b": "lean:left", "days": "21", "limit": "12", "kind": "word"}),
+    "route_lenses_about": _asked("lenses", "about", {"a": "source:rss", "b": "lean:left"}),
+    "route_attention": _asked("attention", "series", {"days": "7"}),
+    "route_persistence_terms": _asked("persistence", "terms", {"weeks": "4", "limit": "30"}, lambda rows: rows.withColumn("series", F.array_join("series", ",", "-"))),
+    "route_persistence_info": _asked("persistence", "info", {"weeks": "4"}),
+    "route_compare": _asked("compare", "terms", {"a": A, "b": B, "source": "rss,gnews,gkg", "limit": "20", "bridges": "1"}, lambda rows: rows.withColumn("bridge", F.round("bridge", 9))),
+    "route_compare_about": _asked("compare", "about", {"a": A, "b": B, "source": "rss,gnews,gkg"}),
+    "route_tone": _asked("tone", "cells", {"days": "7", "min": "1"}),
+    "route_tone_domains": _asked("tone", "domains", {"days": "7", "min": "1"}),
+    "route_agenda": _asked("agenda", "cells", {"days": "7", "source": "rss,gnews", "min": "2"}),
+    "route_candidates": _asked("candidates", "names", {"days": "21", "min": "3", "limit": "20"}),
+    "route_candidate_samples": _asked("candidates", "samples", {"days": "21", "min": "3", "limit": "20"}, lambda rows: rows.select("name", "rn", "doc_id")),
+    "route_comention": _asked("comention", "pairs", {"days": "7", "lean": "left,right,center", "min": "1"}),
+}

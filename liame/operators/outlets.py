@@ -65,11 +65,11 @@ def testimony(c: Corpus, scores: DataFrame, person: Person, days: int = 21, sour
     return rows.withColumn("level", level).where(kept).select("level", "source", "domain", "score", "n")
 
 
-def term_testimony(c: Corpus, scores: DataFrame, person: Person, scope: Scope, keys: DataFrame) -> DataFrame:
+def term_testimony(c: Corpus, scores: DataFrame, person: Person, scope: Scope, keys: DataFrame, leans: dict[str, str] | None = None) -> DataFrame:
     """Mean score per wanted term over the person's scored documents, and the person's own mean as term null."""
     from liame.operators.terms import wanted_terms
 
-    scored = about(c, in_scope(c.docs, scope).select("doc_id"), person.id).join(scores.where((F.col("person_id") == person.id) & F.col("score").isNotNull()).select("doc_id", "score"), "doc_id")
+    scored = about(c, in_scope(c.docs, scope, leans).select("doc_id"), person.id).join(scores.where((F.col("person_id") == person.id) & F.col("score").isNotNull()).select("doc_id", "score"), "doc_id")
     per = scored.join(c.doc_terms, "doc_id").join(wanted_terms(c, keys), "term_id").groupBy(F.col("name").alias("id")).agg(round2(F.avg("score")).alias("score"), F.count(F.lit(1)).alias("n"))
     whole = scored.agg(round2(F.avg("score")).alias("score"), F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("id"), "score", "n")
     return per.unionByName(whole)

@@ -37,23 +37,23 @@ def _days(spark: SparkSession, days: int, at: str) -> DataFrame:
     return spark.range(days).select(F.date_sub(today, F.col("id").cast("int")).alias("day"))
 
 
-def _week_docs(c: Corpus, person: Person, scope: Scope) -> DataFrame:
+def _week_docs(c: Corpus, person: Person, scope: Scope, leans: dict[str, str] | None = None) -> DataFrame:
     """The person's documents with their local day, future ones today, from the first calendar day on."""
     first = F.date_sub(local_day(anchor(scope.at)), scope.days - 1)
-    wide = in_scope(c.docs, Scope(scope.days + 1, scope.sources, scope.domains, scope.leans, scope.country, scope.at))
+    wide = in_scope(c.docs, Scope(scope.days + 1, scope.sources, scope.domains, scope.leans, scope.country, scope.at), leans)
     docs = wide.where(F.col("published_at") >= day_start(first)).withColumn("day", folded_day(F.col("published_at"), scope.at))
     return about(c, docs, person.id)
 
 
-def week_about(c: Corpus, person: Person, scope: Scope) -> DataFrame:
+def week_about(c: Corpus, person: Person, scope: Scope, leans: dict[str, str] | None = None) -> DataFrame:
     """(day, start, about) of every calendar day of the window, empty ones too."""
-    per = _week_docs(c, person, scope).groupBy("day").agg(F.count(F.lit(1)).alias("about"))
+    per = _week_docs(c, person, scope, leans).groupBy("day").agg(F.count(F.lit(1)).alias("about"))
     return _days(c.docs.sparkSession, scope.days, scope.at).join(per, "day", "left").select("day", day_start(F.col("day")).alias("start"), F.coalesce("about", F.lit(0)).alias("about"))
 
 
-def week_terms(c: Corpus, person: Person, scope: Scope, limit: int = 8, kinds: tuple[str, ...] | None = None) -> DataFrame:
+def week_terms(c: Corpus, person: Person, scope: Scope, limit: int = 8, kinds: tuple[str, ...] | None = None, leans: dict[str, str] | None = None) -> DataFrame:
     """The most frequent terms of each calendar day."""
-    counts = c.doc_terms.join(_week_docs(c, person, scope).select("doc_id", "day"), "doc_id").groupBy("day", "term_id").agg(F.count(F.lit(1)).alias("count"))
+    counts = c.doc_terms.join(_week_docs(c, person, scope, leans).select("doc_id", "day"), "doc_id").groupBy("day", "term_id").agg(F.count(F.lit(1)).alias("count"))
     rows = counts.join(c.terms, "term_id").where(~is_name(F.col("term"), person.tokens))
     kind = one_of(F.col("kind"), kinds)
     rows = rows if kind is None else rows.where(kind)
@@ -61,15 +61,15 @@ def week_terms(c: Corpus, person: Person, scope: Scope, limit: int = 8, kinds: t
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).select("day", "rn", "term", "kind", "count")
 
 
-def week_testimony(c: Corpus, scores: DataFrame, person: Person, scope: Scope) -> DataFrame:
+def week_testimony(c: Corpus, scores: DataFrame, person: Person, scope: Scope, leans: dict[str, str] | None = None) -> DataFrame:
     """Mean score per calendar day that has one."""
-    scored = _week_docs(c, person, scope).select("doc_id", "day").join(scores.where((F.col("person_id") == person.id) & F.col("score").isNotNull()).select("doc_id", "score"), "doc_id")
+    scored = _week_docs(c, person, scope, leans).select("doc_id", "day").join(scores.where((F.col("person_id") == person.id) & F.col("score").isNotNull()).select("doc_id", "score"), "doc_id")
     return scored.groupBy("day").agg(round2(F.avg("score")).alias("score"), F.count("score").alias("n"))
 
 
-def rising_counts(c: Corpus, person: Person, scope: Scope, baseline: int = 14, kinds: tuple[str, ...] | None = None) -> DataFrame:
+def rising_counts(c: Corpus, person: Person, scope: Scope, baseline: int = 14, kinds: tuple[str, ...] | None = None, leans: dict[str, str] | None = None) -> DataFrame:
     """(term, kind, c_recent, c_baseline, reach): documents per term in the window and in the one before, from one pass."""
-    wide = in_scope(c.docs, Scope(scope.days + baseline, scope.sources, scope.domains, scope.leans, scope.country, scope.at))
+    wide = in_scope(c.docs, Scope(scope.days + baseline, scope.sources, scope.domains, scope.leans, scope.country, scope.at), leans)
     recent = F.col("published_at") >= before(scope.days, scope.at)
     docs = about(c, wide, person.id).select("doc_id", recent.alias("recent"), "reach_reposts")
     counts = c.doc_terms.join(docs, "doc_id").groupBy("term_id").agg(
@@ -98,9 +98,9 @@ def present(rows: DataFrame, limit: int = 40) -> DataFrame:
     return rows.orderBy(F.desc("count_recent_raw"), F.desc("lift"), "term", "kind").limit(limit)
 
 
-def rising_totals(c: Corpus, counts: DataFrame, person: Person, scope: Scope, baseline: int = 14) -> DataFrame:
+def rising_totals(c: Corpus, counts: DataFrame, person: Person, scope: Scope, baseline: int = 14, leans: dict[str, str] | None = None) -> DataFrame:
     """Documents and words of both windows, before any floor."""
-    wide = in_scope(c.docs, Scope(scope.days + baseline, scope.sources, scope.domains, scope.leans, scope.country, scope.at))
+    wide = in_scope(c.docs, Scope(scope.days + baseline, scope.sources, scope.domains, scope.leans, scope.country, scope.at), leans)
     recent = F.col("published_at") >= before(scope.days, scope.at)
     docs = about(c, wide, person.id).agg(F.count_if(recent).alias("about_recent"), F.count_if(~recent).alias("about_baseline"))
     words = counts.agg(F.coalesce(F.sum("c_recent"), F.lit(0)).alias("words_recent"), F.coalesce(F.sum("c_baseline"), F.lit(0)).alias("words_baseline"))

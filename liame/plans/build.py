@@ -15,6 +15,8 @@ from liame.clock import ANCHOR
 from liame.corpus import Corpus
 from liame.functions.scoring import pmi, rank, signature_floor
 from liame.functions.text import folded
+from liame.operators.networks import communities, community_edges
+from liame.operators.outlets import jaccard, neighbours
 from liame.operators.scope import Scope, in_scope, outlet_domain, tracked
 from liame.plans.lineage import cut
 
@@ -120,6 +122,37 @@ def write_aggregates(c: Corpus, path: str, at: str = ANCHOR) -> None:
         write_window(person_terms(c, days, at), f"{path}/graph_terms", ("days", "source"))
 
 
+def kept_graphs(c: Corpus, at: str = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the kept terms of every window, source and person."""
+    keys = ("days", "source", "person_id")
+    kept, docs = None, None
+    for days in DAYS:
+        terms = person_terms(c, days, at).join(c.terms, ["kind", "term"]).select(*keys, "term_id", F.concat_ws(":", "kind", "term").alias("node"))
+        named = in_scope(c.docs, Scope(days, at=at)).select("doc_id", "source").join(c.doc_persons, "doc_id")
+        named = named.select("doc_id", F.lit(days).cast("long").alias("days"), F.explode(F.array("source", F.lit("all"))).alias("source"), "person_id")
+        kept, docs = (kept.unionByName(terms), docs.unionByName(named)) if kept is not None else (terms, named)
+    kept = cut(kept)
+    return kept.select(*keys, "node"), community_edges(c.doc_terms, docs, kept, keys)
+
+
+def outlet_networks(c: Corpus, at: str = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """(neighbors, fields) of the outlets about every person in both windows."""
+    keys = ("days", "person_id")
+    sets = cut(reduce(DataFrame.unionByName, (outlet_terms(c, days, at) for days in DAYS)))
+    edges = cut(jaccard(sets, keys))
+    nodes = sets.select(*keys, F.col("domain").alias("node")).distinct()
+    fields = communities(nodes, edges.select(*keys, F.col("a").alias("s"), F.col("b").alias("t"), F.col("similarity").alias("count")), [*keys])
+    return neighbours(edges, keys=keys), fields
+
+
+def write_networks(c: Corpus, path: str, at: str = ANCHOR) -> None:
+    """Communities of terms, fields and neighbours of outlets, of both windows."""
+    near, fields = outlet_networks(c, at)
+    write_window(near, f"{path}/outlet_neighbors")
+    write_window(fields, f"{path}/outlet_fields")
+    write_window(communities(*kept_graphs(c, at), ["days", "source", "person_id"]), f"{path}/term_communities")
+
+
 def write_weeks(weeks: DataFrame, path: str) -> None:
     """Weekly history: the weeks of ``weeks`` are written anew, older ones stay as they are."""
     write_window(weeks, path, ("week",))

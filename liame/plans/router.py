@@ -13,9 +13,14 @@ from liame.operators.terms import nodes, scored_terms
 WINDOWS = (7, 21)
 
 
+def plain_scope(scope: Scope) -> bool:
+    """Built windows of the default country, whatever the outlet."""
+    return scope.days in WINDOWS and scope.domains is None and scope.leans is None and scope.country == "br"
+
+
 def precomputable(scope: Scope) -> bool:
     """Built windows with at most one source and the default country."""
-    return scope.days in WINDOWS and scope.domains is None and scope.leans is None and scope.country == "br" and (scope.sources is None or len(scope.sources) == 1)
+    return plain_scope(scope) and (scope.sources is None or len(scope.sources) == 1)
 
 
 def stored_terms(graph_terms: DataFrame, graph_scopes: DataFrame, person: Person, scope: Scope) -> DataFrame:
@@ -28,7 +33,7 @@ def stored_terms(graph_terms: DataFrame, graph_scopes: DataFrame, person: Person
     )
 
 
-def routed_nodes(c: Corpus, graph_terms: DataFrame | None, graph_scopes: DataFrame | None, person: Person, scope: Scope, **options) -> DataFrame:
+def routed_nodes(c: Corpus, graph_terms: DataFrame | None, graph_scopes: DataFrame | None, person: Person, scope: Scope, leans: dict[str, str] | None = None, **options) -> DataFrame:
     """The term map; a window that was never built (a scope without terms for documents that exist) is answered live."""
     if graph_terms is not None and graph_scopes is not None and precomputable(scope):
         stored = stored_terms(graph_terms, graph_scopes, person, scope)
@@ -36,4 +41,4 @@ def routed_nodes(c: Corpus, graph_terms: DataFrame | None, graph_scopes: DataFra
         row = graph_scopes.where((F.col("days") == scope.days) & (F.col("source") == source) & (F.col("person_id") == person.id)).select("about").first()
         if row is not None and (row["about"] == 0 or not stored.isEmpty()):
             return nodes(stored, **options)
-    return nodes(scored_terms(c, in_scope(c.docs, scope), person, person.tokens), **options)
+    return nodes(scored_terms(c, in_scope(c.docs, scope, leans), person, person.tokens), **options)
