@@ -33,7 +33,9 @@ def main() -> None:
 
     try:
         from liame.llm.catalogue import QUERIES as extra
-    except ImportError:
+    except ModuleNotFoundError as e:
+        if e.name != "liame.llm":
+            raise
         extra = {}
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "12g")

@@ -25,6 +25,7 @@ from liame.operators.scope import Scope, about, in_scope, in_week, on_day, track
 from liame.oracles import SQL
 from liame.oracles_routes import SQL as ROUTES
 from liame.plans import build as bd
+from liame.plans import maintenance as mt
 from liame.plans import router as rt
 from liame.plans.layout import once, opened, served
 from liame.plans.lineage import cut
@@ -180,7 +181,7 @@ def comention_pairs(c: Corpus) -> DataFrame:
 
 @query
 def comention_matrix(c: Corpus) -> DataFrame:
-    return po.comention_matrix(ot.comention(c, WINDOW), c.persons.select("id"))
+    return po.comention_matrix(ot.comention(c, WINDOW))
 
 
 @query
@@ -549,11 +550,52 @@ def term_communities(c: Corpus) -> DataFrame:
 
 @query
 def community_ranking(c: Corpus) -> DataFrame:
-    one = (F.col("days") == WINDOW.days) & (F.col("source") == "all") & (F.col("person_id") == A)
-    nodes, edges = (x.where(one) for x in bd.kept_graphs(c))
+    nodes, edges = bd.kept_graphs(c, days=(WINDOW.days,), sources=("all",), person_id=A)
     return po.community_ranking(nw.communities(nodes, edges, [*GRAPH]))
 
 
+@query
+def node_scores(c: Corpus) -> DataFrame:
+    """What the map may be sorted by."""
+    p = c.person(A)
+    rows = tm.scored_terms(c, in_scope(c.docs, WINDOW), p, p.tokens)
+    return rows.select("kind", "term", *[F.round(po.score(s), 6).alias(f"by_{s}") for s in ("count", "pmi", "reach")])
+
+
+@query
+def score_confusion(c: Corpus) -> DataFrame:
+    """The stand-in scores held against a label of ids."""
+    rows = scores(c).select("score", (F.col("doc_id") % 2 == 0).alias("label")).where("score is not null")
+    return po.confusion(rows, 3.0)
+
+
+@query
+def persons_upsert(c: Corpus) -> DataFrame:
+    incoming = c.persons.where("uf is null").select("id", F.upper("name").alias("name"), "aliases", "wikipedia", F.lit("x").alias("party"), "office", "uf")
+    return ig.upsert_persons(c.persons, incoming).select("id", "name", "party")
+
+
+@query
+def persons_prune(c: Corpus) -> DataFrame:
+    return ig.pruned(c.persons, c.doc_persons, c.persons.where("party is not null").select("id"))[1].select("doc_id", "person_id")
+
+
+@query
+def legacy_terms(c: Corpus) -> DataFrame:
+    """Terms written in full beside their documents, turned into a dictionary and a junction, and read again."""
+    old = c.doc_terms.join(c.terms, "term_id").select("doc_id", "kind", "term")
+    terms, doc_terms = ex.dictionary(old)
+    return doc_terms.join(terms, "term_id").groupBy("kind", "term").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query
+def result_hash(c: Corpus) -> DataFrame:
+    """Whether the digest of a result depends on its rows and not on their order."""
+    rows = c.persons.select("id", "name", "party")
+    a, b, other = (mt.result_hash(x) for x in (rows.orderBy("id"), rows.orderBy(F.desc("name")), rows.where("party is not null")))
+    return a.join(b, ["rows", "digest"], "left_semi").select("rows", F.lit(other.first() != a.first()).alias("differs"))
+
+
 @query
 def bridges(c: Corpus) -> DataFrame:
     keys = top_keys(c, c.person(A))

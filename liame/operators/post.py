@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liame.functions.scoring import rank
@@ -86,12 +86,12 @@ def lag_days(a: DataFrame, b: DataFrame) -> DataFrame:
     return peak_day(a).select(F.col("day").alias("day_a")).crossJoin(peak_day(b).select(F.col("day").alias("day_b"))).withColumn("lag", F.datediff("day_b", "day_a").cast("long"))
 
 
-def comention_matrix(pairs: DataFrame, persons: DataFrame) -> DataFrame:
-    """Every pair of persons with its count and ink; null where they share too little."""
-    grid = persons.select(F.col("id").alias("a")).crossJoin(persons.select(F.col("id").alias("b"))).where("a < b")
+def comention_matrix(pairs: DataFrame) -> DataFrame:
+    """The answer's pairs with their ink, from both ends; what is missing in it has none."""
     top = pairs.agg(F.max("count").alias("top"))
-    rows = grid.join(pairs, ["a", "b"], "left").crossJoin(F.broadcast(top))
-    return rows.select("a", "b", "count", F.when(F.col("count").isNotNull(), F.greatest(F.lit(0.18), F.col("count") / F.col("top"))).alias("ink"))
+    ink = F.greatest(F.lit(0.18), F.col("count") / F.col("top"))
+    rows = pairs.crossJoin(F.broadcast(top)).select("a", "b", "count", ink.alias("ink"))
+    return rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "count", "ink"))
 
 
 def level(count: Column, top: Column) -> Column:
@@ -115,8 +115,3 @@ def confusion(rows: DataFrame, threshold: float) -> DataFrame:
 def percentiles(rows: DataFrame, column: str) -> DataFrame:
     """Median (mean of the middle two) and nearest-rank 95th percentile."""
     return rows.agg(F.expr(f"percentile_cont(0.5) within group (order by {column})").alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by {column})").alias("p95"))
-
-
-def weighted_places(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """Places within groups, ties by node."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), "node")))

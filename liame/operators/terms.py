@@ -27,10 +27,8 @@ def term_totals(c: Corpus, docs: DataFrame) -> DataFrame:
 
 def totals(c: Corpus, docs: DataFrame, person: Person) -> DataFrame:
     """One row (docs, tracked, about)."""
-    mine = about(c, docs.select("doc_id"), person.id).select("doc_id", F.lit(1).alias("mine"))
-    anyone = c.doc_persons.select("doc_id").distinct().withColumn("anyone", F.lit(1))
-    flagged = docs.select("doc_id").join(anyone, "doc_id", "left").join(mine, "doc_id", "left")
-    return flagged.agg(F.count(F.lit(1)).alias("docs"), F.count("anyone").alias("tracked"), F.count("mine").alias("about"))
+    named = c.doc_persons.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.col("person_id") == person.id).alias("mine"))
+    return docs.agg(F.count(F.lit(1)).alias("docs")).crossJoin(named.agg(F.count(F.lit(1)).alias("tracked"), F.count_if("mine").alias("about")))
 
 
 def sided_counts(c: Corpus, docs: DataFrame, persons: list[Person]) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +38,7 @@ def sided_counts(c: Corpus, docs: DataFrame, persons: list[Person]) -> tuple[Dat
     totals (tracked, n_0, n_1, ...).
     """
     flags = [F.coalesce(F.max(F.col("person_id") == p.id), F.lit(False)).alias(f"is_{i}") for i, p in enumerate(persons)]
-    marked = docs.select("doc_id", "tone", "reach_reposts").join(c.doc_persons.groupBy("doc_id").agg(*flags), "doc_id")
+    marked = docs.select("doc_id", "tone", "reach_reposts").join(c.doc_persons.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(*flags), "doc_id")
     sides, sums = [], []
     for i in range(len(persons)):
         mine = F.col(f"is_{i}")

@@ -174,7 +174,17 @@ SQL: dict[str, str] = TEXTS | {
     "agenda_share": f"{AGENDA} select person_id, domain, docs, share from g",
     "agenda_pivot": f"{AGENDA} select domain, max(share) filter (where person_id = '{A}') as share_a, max(share) filter (where person_id = '{B}') as share_b from g group by 1",
     "comention_pairs": f"{COMENTION} select * from g",
-    "comention_matrix": f"{COMENTION} select x.id as a, y.id as b, count, case when count is not null then greatest(0.18, count / (select max(count) from g)::double) end as ink from persons x join persons y on x.id < y.id left join g on g.a = x.id and g.b = y.id",
+    "comention_matrix": f"{COMENTION}, i as (select a, b, count, greatest(0.18, count / (select max(count) from g)::double) as ink from g) select * from i union all select b, a, count, ink from i",
+    "node_scores": f"{MAP} select kind, term, count::double as by_count, round({RANK}, 6) as by_pmi, reach::double as by_reach from x",
+    "score_confusion": f"with {BASE}, {SCORES}, g as (select count(*) filter (score >= 3 and doc_id % 2 = 0) as tp, count(*) filter (score >= 3 and doc_id % 2 <> 0) as fp, count(*) filter (score < 3 and doc_id % 2 = 0) as fn from sc where score is not null) select *, tp / (tp + fp)::double as precision, tp / (tp + fn)::double as recall from g",
+    "persons_upsert": "select id, case when uf is null then upper(name) else name end as name, case when uf is null then 'x' else party end as party from persons",
+    "persons_prune": f"with {BASE} select doc_id, person_id from p where person_id in (select id from persons where party is not null)",
+    "legacy_terms": f"with {BASE} select kind, term, count(*) as docs from t join v using (term_id) group by 1, 2",
+    "result_hash": "select count(*) as rows, true as differs from persons",
+    "stub_scores": f"""with {BASE}, u as (select doc_id, person_id, text, list_concat([2166136261::bigint], flatten(list_transform(string_split(person_id || ':' || text, ''), lambda c: case when unicode(c) > 65535 then [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] else [unicode(c)::bigint] end))) as units
+  from p join docs using (doc_id) where text is not null),
+h as (select doc_id, person_id, text, list_reduce(units, lambda x, y: (xor(x, y) * 16777619) % 4294967296) as h from u)
+select doc_id, person_id, 'stub' as method, case when trim(text, chr(32) || chr(9) || chr(10) || chr(13)) = '' then null else round((h % 2001) / 100.0::double - 10, 2) end as score from h""",
     "testimony_grouping_sets": f"{TESTIMONY} select level, source, domain, score, n from g",
     "term_testimony": f"{TERM_TESTIMONY} select * from g",
     "candidates": f"{CANDIDATES} select * from g",

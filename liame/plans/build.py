@@ -122,14 +122,16 @@ def write_aggregates(c: Corpus, path: str, at: str = ANCHOR) -> None:
         write_window(person_terms(c, days, at), f"{path}/graph_terms", ("days", "source"))
 
 
-def kept_graphs(c: Corpus, at: str = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the kept terms of every window, source and person."""
+def kept_graphs(c: Corpus, at: str = ANCHOR, days: tuple[int, ...] = DAYS, sources: tuple[str, ...] | None = None, person_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the kept terms of every window, source and person, or of those asked for."""
     keys = ("days", "source", "person_id")
     kept, docs = None, None
-    for days in DAYS:
-        terms = person_terms(c, days, at).join(c.terms, ["kind", "term"]).select(*keys, "term_id", F.concat_ws(":", "kind", "term").alias("node"))
+    asked = F.lit(True) if sources is None else F.col("source").isin(list(sources))
+    asked = asked if person_id is None else asked & (F.col("person_id") == person_id)
+    for days in days:
+        terms = person_terms(c, days, at).where(asked).join(c.terms, ["kind", "term"]).select(*keys, "term_id", F.concat_ws(":", "kind", "term").alias("node"))
         named = in_scope(c.docs, Scope(days, at=at)).select("doc_id", "source").join(c.doc_persons, "doc_id")
-        named = named.select("doc_id", F.lit(days).cast("long").alias("days"), F.explode(F.array("source", F.lit("all"))).alias("source"), "person_id")
+        named = named.select("doc_id", F.lit(days).cast("long").alias("days"), F.explode(F.array("source", F.lit("all"))).alias("source"), "person_id").where(asked)
         kept, docs = (kept.unionByName(terms), docs.unionByName(named)) if kept is not None else (terms, named)
     kept = cut(kept)
     return kept.select(*keys, "node"), community_edges(c.doc_terms, docs, kept, keys)

@@ -26,6 +26,16 @@ def checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def release(df: DataFrame) -> None:
+    """Removes the files of a ``cut`` that nothing reads any more."""
+    rdd = df._jdf.queryExecution().analyzed().rdd()
+    place = rdd.getCheckpointFile()
+    if place.isDefined():
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(place.get())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder; its plan starts from those files."""
     checkpoint_dir(df.sparkSession)
