@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liame.plans.lineage import cut
+from liame.plans.lineage import cut, release
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     is followed twice, and the edges between what is left are the next round's
     graph; it shrinks by a constant factor in expectation, so the rounds grow
     with the logarithm of the graph. Edges and labels lie in checkpoint files,
-    so an executor's loss costs one round.
+    so an executor's loss costs one round; a round removes those of the one before.
     """
     labels = nodes.where("node is not null").select("node").distinct().withColumn("component", F.col("node"))
     known = labels.select("node")
@@ -30,7 +30,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             ahead = to.select(F.col("v").alias("p"), F.col("p").alias("q"))
             to = to.join(ahead, "p").select("v", F.col("q").alias("p"))
         to = cut(to)
-        labels = cut(labels.join(to, labels["component"] == to["v"], "left").select("node", F.coalesce("p", "component").alias("component")))
+        followed = cut(labels.join(to, labels["component"] == to["v"], "left").select("node", F.coalesce("p", "component").alias("component")))
         a, b = to.select(F.col("v").alias("a"), F.col("p").alias("x")), to.select(F.col("v").alias("b"), F.col("p").alias("y"))
-        edges = cut(edges.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        left = cut(edges.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        for done in (to, labels, edges):
+            release(done)
+        labels, edges = followed, left
+    release(edges)
     return labels

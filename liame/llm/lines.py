@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liame.llm.components import connected_components
-from liame.plans.lineage import cut
+from liame.plans.lineage import cut, release
 from liame.sources.tables import load
 
 SPACE = r"[\t\r\f \x0b\p{Z}\x{85}\x{1c}-\x{1f}]+"  # all but the line feed
@@ -47,6 +47,7 @@ def repeated_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     pairs = keyed.select("doc_id", F.explode(F.array_distinct(next_ones)).alias("x")).select("doc_id", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
     edges = pairs.where("b is not null").groupBy("a", "b").agg(F.countDistinct("doc_id").alias("docs")).where(F.col("docs") >= least)
     blocks = connected_components(nodes, edges)
+    release(nodes)
     found = seen.join(blocks.select(F.col("node").alias("key"), F.lower(F.hex("component")).alias("block")), "key")
     return found.select("doc_id", "line_no", "block").distinct()
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from liame.llm.components import connected_components
 from liame.llm.visual import LOOKS_LIKE
-from liame.plans.lineage import cut
+from liame.plans.lineage import cut, release
 from liame.plans.parallel import tasks
 from liame.sources.tables import load
 
@@ -297,6 +297,7 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
     } - PARTICLES - TITLES
     shared = spark.sparkContext.broadcast(common)
     parsed = cut(names.mapInPandas(lambda b: _forms(b, shared.value), "name string, freq long, tracked boolean, form string"))
+    release(names)
     forms = parsed.groupBy("form").agg(F.sum("freq").alias("freq"), F.max("tracked").alias("tracked"))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,11 +328,12 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
     schema = "form string, freq long, tracked boolean, standing int, key string, as_v boolean, as_c boolean"
     rows = cut(forms.repartition(tasks(spark)).mapInPandas(keyed, schema))
     # Pairs within a block grow with its square, so crowded ones are split by what a link needs besides.
-    done = []
+    done, written = [], [rows]
     for level in (0, 1):
         crowded = rows.where("key like 's:%'").groupBy("key").count().where(F.col("count") > CROWDED).select("key")
         done.append(rows.join(crowded, "key", "left_anti"))
         rows = cut(rows.join(crowded, "key", "left_semi").mapInPandas(split(level), schema).distinct())
+        written.append(rows)
     rows = done[0].unionByName(done[1]).unionByName(rows)
     rank = F.struct(F.col("tracked"), F.col("standing"), F.col("freq"), F.col("form"))
     v = rows.where("as_v").select("key", F.col("form").alias("v"), F.col("freq").alias("v_freq"), rank.alias("v_rank"))
@@ -352,6 +354,8 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["v", "c", "score"])
 
     likely = cut(pairs.repartition(tasks(spark)).mapInPandas(scored, "v string, c string, score double"))
+    for w in written:
+        release(w)
     best = likely.groupBy("v").agg(F.max(F.struct("score", "c")).alias("top")).select("v", F.col("top.c").alias("best"), F.col("top.score").alias("best_score"))
 
     def rivals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -363,6 +367,7 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
     links = best.join(doubtful, "v", "left_anti").select(F.col("v").alias("a"), F.col("best").alias("b"))
     links = links.unionByName(same.join(same.groupBy("id").agg(F.min("form").alias("first")), "id").select(F.col("form").alias("a"), F.col("first").alias("b")).distinct())
     entities = connected_components(forms.select(F.col("form").alias("node")), links)
+    release(likely)
     return parsed.join(entities.select(F.col("node").alias("form"), F.col("component").alias("entity")), "form").select("name", "entity")
 
 
