@@ -468,7 +468,7 @@ def build_person_terms(c: Corpus) -> DataFrame:
 def aggregates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(graph_terms, graph_scopes) of a folder, written once and read from there."""
     path = once(spark, folder, "aggregates", lambda path: bd.write_aggregates(served(spark, folder), path))
-    return opened(spark, path, lambda spark, path: (spark.read.parquet(f"{path}/graph_terms"), spark.read.parquet(f"{path}/graph_scopes")))
+    return opened(spark, path, lambda spark, path: (bd.read_window(spark, f"{path}/graph_terms"), bd.read_window(spark, f"{path}/graph_scopes")))
 
 
 def fast_nodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -716,9 +716,9 @@ def extras(spark: SparkSession, folder: str) -> rs.Extras:
     c = served(spark, folder)
     terms, scopes = aggregates(spark, folder)
     path = once(spark, folder, "networks", lambda path: bd.write_networks(served(spark, folder), path))
-    near, fields, communities = opened(spark, path, lambda spark, path: [spark.read.parquet(f"{path}/{n}") for n in ("outlet_neighbors", "outlet_fields", "term_communities")])
+    near, fields, communities = opened(spark, path, lambda spark, path: [bd.read_window(spark, f"{path}/{n}") for n in ("outlet_neighbors", "outlet_fields", "term_communities")])
     path = once(spark, folder, "weeks", lambda path: bd.write_weeks(sr.term_weeks(served(spark, folder), 12, tokens=bd.person_tokens(c)), path))
-    weeks = opened(spark, path, lambda spark, path: spark.read.parquet(path))
+    weeks = opened(spark, path, bd.read_window)
     return rs.Extras(scores(c).withColumn("method", F.lit("stub")), views(c), terms, scopes, communities, fields, near, weeks, LEANS)
 
 

@@ -6,10 +6,12 @@ A reader below the kept ranks gets the same rows as from the live statements;
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from liame.clock import ANCHOR
 from liame.corpus import Corpus
@@ -111,8 +113,22 @@ def outlet_terms(c: Corpus, days: int, at: str = ANCHOR, top: int = 40, floor: i
 
 
 def write_window(rows: DataFrame, path: str, by: tuple[str, ...] = ("days",)) -> None:
-    """Overwrites only the partitions (windows, weeks) that ``rows`` holds."""
+    """Overwrites only the partitions (windows, weeks) that ``rows`` holds; the schema lies beside them, for a table without rows has no other."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_schema.json")
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(rows.schema.json().encode())
+    out.close()
+
+
+def read_window(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_window`` wrote, with or without rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_schema.json")
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return spark.read.schema(StructType.fromJson(json.loads(text))).parquet(path)
 
 
 def write_aggregates(c: Corpus, path: str, at: str = ANCHOR) -> None:

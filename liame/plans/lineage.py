@@ -28,8 +28,10 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
 def release(df: DataFrame) -> None:
     """Removes the files of a ``cut`` that nothing reads any more."""
-    rdd = df._jdf.queryExecution().analyzed().rdd()
-    place = rdd.getCheckpointFile()
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRDD":
+        return
+    place = plan.rdd().getCheckpointFile()
     if place.isDefined():
         spark = df.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(place.get())
