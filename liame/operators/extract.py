@@ -231,6 +231,12 @@ def reindex(docs: DataFrame, persons: DataFrame, path: str) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def windows_of(pairs: DataFrame, docs: DataFrame, persons: DataFrame, budget: int = 512) -> DataFrame:
+    """Documents with one entry (person_id, text) for each person they name: what a scorer would read, for the JSON-lines sink."""
+    texts = scored_texts(pairs, docs, persons, budget).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("person_id", "text"))).alias("persons"))
+    return docs.select("doc_id", "source", "uri", "published_at").join(texts, "doc_id")
+
+
 def exported(docs: DataFrame, doc_persons: DataFrame) -> DataFrame:
     """Documents with the sorted list of persons they name, as the JSON-lines sink writes them."""
     named = doc_persons.where("person_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("person_id")).alias("persons"))

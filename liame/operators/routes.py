@@ -18,6 +18,7 @@ from liame.operators import series as sr
 from liame.operators import terms as tm
 from liame.operators.scope import Scope, about, in_scope, in_week, on_day, resolve_domains, with_person, with_term
 from liame.plans.lineage import cut
+from liame.plans.results import cached
 from liame.plans.router import plain_scope, routed_nodes
 
 Answer = dict[str, DataFrame]
@@ -216,6 +217,13 @@ OF_ALL: dict[str, tuple[Callable, Callable]] = {
 }
 
 
+def warmed(c: Corpus, root: str, build: str, route: str, relation: str, raw: pr.Raw, x: Extras = Extras(), person_id: str | None = None) -> DataFrame:
+    """A relation of an answer from the results stored for a build, made and stored if they lack it; requests that parse alike share one."""
+    parse = (OF_PERSON | OF_ALL).get(route, (lambda raw: tuple(sorted(raw.items())), None))[0]
+    asked = {"person": person_id, "relation": relation, "query": repr(parse(raw))}
+    return cached(c.docs.sparkSession, root, build, route, asked, lambda: answer(c, route, raw, x, person_id)[relation])
+
+
 def answer(c: Corpus, route: str, raw: pr.Raw, x: Extras = Extras(), person_id: str | None = None) -> Answer:
     """The relations of a route's answer to a raw request; LookupError for an unknown route or person."""
     if route == "people":

@@ -50,6 +50,26 @@ def test_stored_and_live_answers_agree(spark):
     assert fast.where("community is null").count() == 0 and live.where("community is not null").count() == 0
 
 
+@needs_tables
+def test_warm_answers_are_shared_by_requests_that_parse_alike(spark, tmp_path):
+    c, x = served(spark, DATA), catalogue.extras(spark, DATA)
+    ask = lambda raw, who: rs.warmed(c, str(tmp_path), "b1", "timeline", "timeline", raw, x, who).count()
+    assert ask({}, catalogue.A) == ask({"days": "21", "bucket": "week"}, catalogue.A) and len(list((tmp_path / "b1" / "timeline").iterdir())) == 1
+    ask({}, catalogue.B)
+    assert len(list((tmp_path / "b1" / "timeline").iterdir())) == 2
+
+
+def test_export_of_windows(spark, tmp_path):
+    from liame.operators import extract as ex
+    from liame.sources import feeds
+
+    docs = spark.createDataFrame([(1, "rss", "u", None, "Ana Lima e Rui Costa falaram"), (2, "rss", "v", None, "ninguem")], "doc_id long, source string, uri string, published_at timestamp_ntz, text string")
+    persons = spark.createDataFrame([("ana", ["Ana Lima"]), ("rui", ["Rui Costa"])], "id string, aliases array<string>")
+    feeds.export(ex.windows_of(ex.mention_rows(docs, persons), docs, persons, 3), str(tmp_path / "out"))
+    rows = spark.read.json(str(tmp_path / "out")).collect()
+    assert len(rows) == 1 and [p["person_id"] for p in rows[0]["persons"]] == ["ana", "rui"] and "Rui" in rows[0]["persons"][1]["text"]
+
+
 def test_derived_tables_are_written_once_and_anew_for_changed_ones(spark, tmp_path):
     (tmp_path / "t.parquet").write_text("a")
     made = []
