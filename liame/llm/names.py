@@ -153,14 +153,14 @@ def _inner(v: list[str], c: list[str], ch: Channel, either: bool = False) -> Way
 
 
 def acronyms(c: list[str]) -> set[str]:
-    """What a name of three to five words may be called by the beginnings of its words: up to three letters of each, eight in all."""
+    """What a name of three to five words may be called by the beginnings of its words: of each the first letter, of up to two of them up to three, eight in all."""
     if not 3 <= len(c) <= 5:
         return set()
-    out = {""}
+    out = {("", 0)}
     for i, w in enumerate(c):
         left = len(c) - 1 - i
-        out = {a + w[:k] for a in out for k in range(1, min(3, len(w)) + 1) if len(a) + k + left <= 8}
-    return out
+        out = {(a + w[:k], n + (k > 1)) for a, n in out for k in range(1, min(3, len(w)) + 1) if n + (k > 1) <= 2 and len(a) + k + left <= 8}
+    return {a for a, _ in out}
 
 
 def explain(v: list[str], c: list[str], ch: Channel, either: bool = False) -> Way:
@@ -217,14 +217,14 @@ def _surname_keys(tokens: list[str]) -> set[str]:
     return {f"s:{piece}:{x}" for piece in _pieces(tokens[-1]) for x in letters} if len(tokens) > 1 else set()
 
 
-def keys(tokens: list[str]) -> set[str]:
+def keys(tokens: list[str], own: bool = True) -> set[str]:
     """Join keys: two forms that ``explain`` connects share one.
 
     The surname with at most one letter left out, with the first letters that
     the given name may have; the exact surname with the given name less one of
     its first two letters; of three words or more, initial, middle words and
-    the surname's first letters; all words joined with at most one letter left
-    out; the acronyms. Not covered: a typo in the given name's first letter
+    the surname's first letters; of a form's ``own`` order also all words joined
+    with at most one letter left out, and the acronyms. Not covered: a typo in the given name's first letter
     together with one in the surname, and an abbreviated surname of a name of two words.
     """
     out = _surname_keys(tokens)
@@ -233,6 +233,8 @@ def keys(tokens: list[str]) -> set[str]:
         out |= {f"t:{last}:{g}" for g in (given, given[1:], given[:1] + given[2:]) if len(g) > 1}
         if len(tokens) > 2 and len(last) > 2:
             out.add(f"p:{given[0]}:{' '.join(tokens[1:-1])}:{last[:3]}")
+    if not own:
+        return out
     out |= {f"w:{p}" for p in _pieces("".join(tokens))}
     if len(tokens) == 1:
         out |= {f"a:{tokens[0]}"} if 3 <= len(tokens[0]) <= 8 else set()
@@ -304,9 +306,10 @@ def attribute(spellings: DataFrame, known: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for f, q, t in zip(batch["form"], batch["freq"], batch["tracked"]):
-                own, *moved = (keys(r) for r in readings(f.split()))
-                standing = _standing(f.split())
-                rows += [(f, q, t, standing, k, True, k in own and standing > 1) for k in own.union(*moved)]
+                order, *others = readings(f.split())
+                own, standing = keys(order), _standing(order)
+                acronym = len(order) == 1  # what has more words is called by one, and is none
+                rows += [(f, q, t, standing, k, acronym or k[:2] != "a:", k in own and standing > 1) for k in own.union(*(keys(r, False) for r in others))]
             yield pd.DataFrame(rows, columns=KEYED)
 
     def split(level: int):
