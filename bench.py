@@ -3,9 +3,8 @@
 The relations are stored in their layout, read and kept, as a server keeps its
 tables warm (``load``), and the aggregates are built and written (``build``);
 each query then runs once untimed and REPEATS times timed, and its median
-counts. ``fast_nodes`` reads the written aggregates. Answers run with two shuffle
-partitions and without adaptive execution, builds and the pipeline with the
-session's settings. Prints one JSON line.
+counts. ``fast_nodes`` reads the written aggregates. Answers run without
+adaptive execution, builds and the pipeline with it. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -55,10 +54,8 @@ def main() -> None:
     build = time.time() - began
     times: dict[str, float] = {}
     for name in ROUTES:
-        # An answer reads a few megabytes: re-planning between its stages and more tasks than that cost more than they save.
-        small = name not in BUILDS
-        spark.conf.set("spark.sql.adaptive.enabled", not small)
-        spark.conf.set("spark.sql.shuffle.partitions", 2 if small else CPUS)
+        # An answer reads a few megabytes: re-planning between its stages costs more than it saves.
+        spark.conf.set("spark.sql.adaptive.enabled", name in BUILDS)
         run = (lambda: catalogue.QUERIES["fast_nodes"](spark, FOLDER)) if name == "fast_nodes" else (lambda run=catalogue.OF_CORPUS[name]: run(c))
         run().collect()
         each = []
@@ -68,7 +65,6 @@ def main() -> None:
             each.append(time.time() - t)
         times[name] = round(median(each), 3)
     spark.conf.set("spark.sql.adaptive.enabled", True)
-    spark.conf.set("spark.sql.shuffle.partitions", CPUS)
     for name in PIPELINE if os.environ.get("BENCH_ROUTES_ONLY") is None else ():
         if name in extra:
             t = time.time()
