@@ -31,3 +31,8 @@ def like_sql(spark, folder, monkeypatch, name):
 def test_compare_entities(spark, folder, monkeypatch):
     like_sql(spark, folder, monkeypatch, "compare_entities")
     assert catalogue.QUERIES["compare_entities"](spark, folder).where("a_count is not null and b_count is null and is_name_b is null").count() > 0
+
+
+def test_route_compare(spark, folder, monkeypatch):
+    like_sql(spark, folder, monkeypatch, "route_compare")
+    assert catalogue.QUERIES["route_compare"](spark, folder).where("a_count is not null and b_count is null").count() > 0
