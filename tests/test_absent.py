@@ -36,3 +36,7 @@ def test_compare_entities(spark, folder, monkeypatch):
 def test_route_compare(spark, folder, monkeypatch):
     like_sql(spark, folder, monkeypatch, "route_compare")
     assert catalogue.QUERIES["route_compare"](spark, folder).where("a_count is not null and b_count is null").count() > 0
+
+
+def test_bridge_candidates(spark, folder, monkeypatch):
+    like_sql(spark, folder, monkeypatch, "bridge_candidates")
