@@ -40,3 +40,7 @@ def test_route_compare(spark, folder, monkeypatch):
 
 def test_bridge_candidates(spark, folder, monkeypatch):
     like_sql(spark, folder, monkeypatch, "bridge_candidates")
+
+
+def test_route_compare_about(spark, folder, monkeypatch):
+    like_sql(spark, folder, monkeypatch, "route_compare_about")
