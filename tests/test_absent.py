@@ -44,3 +44,7 @@ def test_bridge_candidates(spark, folder, monkeypatch):
 
 def test_route_compare_about(spark, folder, monkeypatch):
     like_sql(spark, folder, monkeypatch, "route_compare_about")
+
+
+def test_ruler_balance(spark, folder, monkeypatch):
+    like_sql(spark, folder, monkeypatch, "ruler_balance")
