@@ -48,3 +48,7 @@ def test_route_compare_about(spark, folder, monkeypatch):
 
 def test_ruler_balance(spark, folder, monkeypatch):
     like_sql(spark, folder, monkeypatch, "ruler_balance")
+
+
+def test_fast_equals_live(spark, folder, monkeypatch):
+    like_sql(spark, folder, monkeypatch, "fast_equals_live")
