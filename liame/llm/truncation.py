@@ -4,15 +4,16 @@ Near-copies are found by min-hash banding over shingles of five words;
 verified pairs (similarity of 0.8 or more) are aligned, and the copy whose
 alignment ends early, inside a word or sentence of the other, is cut. A record
 that no copy decides is scored by itself: the terminality of its closing words,
-after the lines a site adds have been set aside. Terminality is a classifier
-fitted on the lines of a bounded sample; every record is read once, by one
-function that judges its ending, counts its words and signs it for the bands.
+after the lines a site adds have been set aside. Terminality is fitted on the
+lines of all records: one pass counts in how many records a word stands; a
+second one counts the contexts of all places and notes those of each record's
+closing words, counts its words and signs it for the bands. Closing words meet
+the counts of their contexts in joins.
 """
 
 from __future__ import annotations
 
 import html
-import pickle
 import re
 import unicodedata
 from array import array
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 
 from liame.llm.lines import alike_lines
 from liame.llm.visual import LOOKS_LIKE, _unaccented
-from liame.plans.lineage import cut
+from liame.plans.lineage import cut, release
 from liame.plans.parallel import tasks
 from liame.sources.tables import load
 
-SAMPLE_CHARS = 12_000_000  # characters of the texts that the terminality of closing words is fitted on
+SAMPLE_CHARS = None  # no sample is taken and nothing reads this; a test that bounds one still sets the name
+HELD = 1_000_000  # tokens whose contexts, or words, that a task counts before it hands the counts on
 BANDS, ROWS = 20, 5  # a pair of similarity 0.8 shares a band with probability 0.9996
 SHINGLE, SIMILAR = 5, 0.8
 HEAVY = 2000  # members of a band from which on it is split
@@ -123,18 +125,8 @@ WEIGHTS = [int(x) | 1 for x in np.random.default_rng(3).integers(1, 2**63, 16, d
 SALTS = [int(x) for x in np.random.default_rng(4).integers(1, 2**63, 8, dtype=np.uint64)]
 
 
-def _context(shapes: tuple[list[int], ...], end: int, view: int, edge: int) -> int:
-    """Key of the tokens that ``view`` sees before position ``end``."""
-    which, k = (*VIEWS, DOTS)[view]
-    numbers = shapes[which]
-    total = SALTS[view]
-    for j in range(1, k + 1):
-        total += (numbers[end - j] if end - j >= 0 else edge) * WEIGHTS[j]
-    return _signed(total % 2**64)
-
-
 def _contexts(padded: np.ndarray, at: np.ndarray, view: int) -> np.ndarray:
-    """``_context`` for many positions of one padded row of numbers."""
+    """Keys of the tokens that ``view`` sees before each position of a padded row of numbers."""
     total = np.full(len(at), SALTS[view], dtype=np.uint64)
     for j in range(1, (*VIEWS, DOTS)[view][1] + 1):
         total += padded[at - j] * np.uint64(WEIGHTS[j])
@@ -176,100 +168,86 @@ def _ending(line: str) -> tuple[str, str]:
     return "plain", line
 
 
-def fit(texts: list[str]) -> dict:
-    """The terminality of closing words, learned from how the lines of ``texts`` end.
+class Contexts:
+    """Counts the contexts of all places of the lines it is given, and how many lines end there."""
 
-    words: the frequent words, true for the very frequent; views: per kind of
-    context its keys and the share of lines that end there; rhetorical: contexts
-    after which dots usually stand; inside: words that stand often and close hardly any line.
+    def __init__(self, words: dict[str, bool]) -> None:
+        self.shapes = Shapes(words)
+        self.pad = array("Q", [self.shapes.edge] * PAD)
+        self.noted: list[np.ndarray] = []
+        self.n_noted = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows = (array("Q"), array("Q"), array("Q"))
+        self.lines, self.plain, self.dots, self.asked = [], [], [], []
+
+    def full(self) -> bool:
+        return len(self.rows[0]) >= HELD
+
+    def add(self, kind: str, tokens: list[str]) -> int:
+        """The place of a line's last token."""
+        start = len(self.rows[0]) + PAD
+        for row, numbers in zip(self.rows, self.shapes(tokens)):
+            row.extend(self.pad)
+            row.extend(numbers)
+        end = start + len(tokens) - 1
+        self.lines.append((start, end + 1))
+        if kind in ("plain", "dots"):
+            (self.plain if kind == "plain" else self.dots).append(end)
+        return end
+
+    def note(self, place: int) -> int:
+        """The number under which ``keys`` has the contexts of a place."""
+        self.asked.append(place)
+        self.n_noted += 1
+        return self.n_noted - 1
+
+    def counts(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per view its keys, their places and the lines that end there; of all places since the last call."""
+        out = []
+        if self.lines:
+            places = np.concatenate([np.arange(a, b) for a, b in self.lines])
+            asked, noted = np.array(self.asked, dtype=np.int64), []
+            for view, (which, _) in enumerate((*VIEWS, DOTS)):
+                row = np.frombuffer(self.rows[which], dtype=np.uint64)
+                seen, n = np.unique(_contexts(row, places, view), return_counts=True)
+                ended, e = np.unique(_contexts(row, np.array(self.dots if view == len(VIEWS) else self.plain, dtype=np.int64), view), return_counts=True)
+                ends = np.zeros(len(seen), dtype=np.int64)
+                ends[np.searchsorted(seen, ended)] = e
+                out.append((view, seen, n, ends))
+                noted.append(_contexts(row, asked, view))
+            self.noted.append(np.stack(noted, axis=1))
+        self._clear()
+        return out
+
+    def keys(self) -> np.ndarray:
+        """A row of keys, one a view, for every place noted since the last call; after ``counts``."""
+        out = np.concatenate(self.noted) if self.noted else np.zeros((0, len(VIEWS) + 1), dtype=np.int64)
+        self.noted, self.n_noted = [], 0
+        return out
+
+
+def _closing(endings: list[tuple[str, str, list[str]]], site: set[int]) -> tuple[bool, list[int], int | None]:
+    """(whether the text stops in the open by its marks, the lines whose closing words decide otherwise, the line before dots that may be rhetorical).
+
+    Lines are taken from the last back to the first that is complete and no site line.
     """
-    df = Counter(w for t in texts for w in set(WORD.findall(t.lower())))
-    words = {w: c >= VERY_FREQUENT * len(texts) for w, c in df.items() if c >= max(3, FREQUENT * len(texts))}
-    del df
-    shapes = Shapes(words)
-    rows = (array("Q"), array("Q"), array("Q"))
-    inside, plain_ends, dot_ends = [], [], []
-    counts, closing = Counter(), Counter()
-    pad = array("Q", [shapes.edge] * PAD)
-    for text in texts:
-        for line in text.split("\n"):
-            kind, body = _ending(line.rstrip())
-            tokens = TOKEN.findall(readable(body)) if kind not in ("none", "code") else []
-            if not tokens:
-                continue
-            start = len(rows[0]) + PAD
-            for row, numbers in zip(rows, shapes(tokens)):
-                row.extend(pad)
-                row.extend(numbers)
-            inside.append((start, start + len(tokens)))
-            low = [t.lower() for t in tokens]
-            counts.update(t for t in (low if kind == "stop" else low[:-1]) if t[0].isalnum())
-            if kind == "plain":
-                plain_ends.append(start + len(tokens) - 1)
-                closing[low[-1]] += 1
-            elif kind == "dots":
-                dot_ends.append(start + len(tokens) - 1)
-    places = np.concatenate([np.arange(a, b) for a, b in inside]) if inside else np.array([], dtype=np.int64)
-    model: dict = {"words": words, "views": []}
-    for view, (which, _) in enumerate((*VIEWS, DOTS)):
-        dots = view == len(VIEWS)
-        row = np.frombuffer(rows[which], dtype=np.uint64) if inside else np.array([], dtype=np.uint64)
-        seen, n = np.unique(_contexts(row, places, view), return_counts=True)
-        ended, e = np.unique(_contexts(row, np.array(dot_ends if dots else plain_ends, dtype=np.int64), view), return_counts=True)
-        ends = np.zeros(len(seen), dtype=np.int64)
-        ends[np.searchsorted(seen, ended)] = e
-        if dots:
-            model["rhetorical"] = seen[(ends >= 3) & (ends >= 0.5 * n)]
-        else:
-            model["views"].append((seen[n >= ENOUGH], (ends / n)[n >= ENOUGH]))
-    model["inside"] = {w for w, c in counts.items() if c >= 5 * ENOUGH and closing[w] < LOW / 40 * (c + closing[w])}
-    return model
-
-
-class Judge:
-    """Reads endings by a fitted model."""
-
-    def __init__(self, model: dict) -> None:
-        self.shapes = Shapes(model["words"])
-        self.views = [dict(zip(k.tolist(), r.tolist())) for k, r in model["views"]]
-        self.rhetorical = set(model["rhetorical"].tolist())
-        self.inside = model["inside"]
-
-    def low(self, tokens: list[str]) -> bool:
-        """Whether lines hardly ever end where ``tokens`` end."""
-        if tokens[-1].lower() in self.inside:
-            return True
-        shaped = self.shapes(tokens)
-        r1, r2, r3, r4 = (self.views[v].get(_context(shaped, len(tokens) - 1, v, self.shapes.edge)) for v in range(len(VIEWS)))
-        coarse = None if r1 is not None else r3 if r3 is not None else r4
-        fine = r1 if r1 is not None else r2 if r2 is not None else 1.0
-        share = max(fine, coarse) if r1 is None and r2 is not None and coarse is not None else fine
-        return share < LOW or (coarse is not None and coarse < LOW / 8)
-
-    def open(self, endings: list[tuple[str, str, list[str]]], site: set[int]) -> tuple[bool, list[str]]:
-        """(whether the text stops in the open, last words that may be parts of words).
-
-        Lines are judged from the last back to the first that is complete and no site line.
-        """
-        lasts = []
-        for no in range(len(endings), 0, -1):
-            kind, _, tokens = endings[no - 1]
-            if kind == "none" or no in site and kind in ("stop", "plain", "open"):
-                continue
-            if kind == "stop":
-                break
-            if kind in ("code", "gap", "open"):
-                return True, []
-            if not tokens:
-                continue
-            if kind == "dots":
-                if _context(self.shapes(tokens), len(tokens) - 1, len(VIEWS), self.shapes.edge) not in self.rhetorical:
-                    return True, []
-                break
-            if self.low(tokens):
-                return True, []
-            lasts.append(tokens[-1].lower())
-        return False, lasts
+    plain: list[int] = []
+    for no in range(len(endings), 0, -1):
+        kind, _, tokens = endings[no - 1]
+        if kind == "none" or no in site and kind in ("stop", "plain", "open"):
+            continue
+        if kind == "stop":
+            break
+        if kind in ("code", "gap", "open"):
+            return True, [], None
+        if not tokens:
+            continue
+        if kind == "dots":
+            return False, plain, no
+        plain.append(no)
+    return False, plain, None
 
 
 def _lines_of(text: str) -> list[tuple[str, str, list[str]]]:
@@ -358,19 +336,56 @@ def _site_lines(docs: DataFrame) -> DataFrame:
     return each.join(kept, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("site_lines"))
 
 
-def _fitted(docs: DataFrame) -> bytes:
-    """The model of ``fit``, made in one task from a sample of documents by hash, of about SAMPLE_CHARS characters at most."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    part = 1_000_000 if chars <= SAMPLE_CHARS else int(1_000_000 * SAMPLE_CHARS / chars)
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) < part).select("text")
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"model": [pickle.dumps(fit([t for b in batches for t in b["text"]]))]})
-
-    return bytes(sample.repartition(1).mapInPandas(learn, "model binary").first()[0])
+def _frequent(texts: DataFrame) -> dict[str, bool]:
+    """The words that stand in a share FREQUENT of all texts, true for those in a share VERY_FREQUENT; so many that the driver holds them."""
 
-
-READ = "doc_id long, source string, site_lines array<long>, ending boolean, lasts array<string>, whole long, size long, shingles long, open boolean, bands array<long>, word string, n long, ends long"
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, words = 0, Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                n += 1
+                words.update(set(WORD.findall(text.lower())))
+            if len(words) > HELD:
+                yield pd.DataFrame(words.items(), columns=["word", "n"])
+                words = Counter()
+        yield pd.DataFrame([*words.items(), (None, n)], columns=["word", "n"])
+
+    counts = cut(texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.where("word is null").select("n").first()
+    n = total["n"] if total else 0
+    words = {r["word"]: r["n"] >= VERY_FREQUENT * n for r in counts.where(F.col("word").isNotNull() & (F.col("n") >= max(3, FREQUENT * n))).toLocalIterator()}
+    release(counts)
+    return words
+
+
+def _open_closings(records: DataFrame, contexts: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id) of the records whose closing words are hardly ever the end of a line, or stand before dots that are not rhetorical.
+
+    ``records`` has (doc_id, lasts, keys, dots), ``contexts`` (view, keys, counts, closed) as tasks counted them, ``words`` (word, n, ends).
+    """
+    each = contexts.select("view", F.explode(F.arrays_zip("keys", "counts", "closed")).alias("x")).select("view", F.col("x.keys").alias("key"), F.col("x.counts").alias("n"), F.col("x.closed").alias("ends"))
+    known = each.groupBy("view", "key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    shares = known.where((F.col("view") < len(VIEWS)) & (F.col("n") >= ENOUGH)).select("view", "key", (F.col("ends") / F.col("n")).alias("share"))
+    rhetorical = known.where((F.col("view") == len(VIEWS)) & (F.col("ends") >= 3) & (F.col("ends") >= 0.5 * F.col("n"))).select(F.col("key").alias("dots"))
+    views = range(len(VIEWS))
+    line = F.transform("lasts", lambda x, i: F.struct(x.alias("last"), *[F.get(F.col("keys"), i * len(VIEWS) + v).alias(f"k{v}") for v in views]))
+    lines = records.where(F.size("lasts") > 0).select("doc_id", F.explode(line).alias("x")).select("doc_id", "x.*")
+    same = ["last", *[f"k{v}" for v in views]]
+    asked = lines.select(*same).distinct().select(*same, F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(f"k{v}").alias("key")) for v in views])).alias("x")).select(*same, "x.*")
+    found = asked.join(shares, ["view", "key"], "left").groupBy(*same).agg(*[F.max(F.when(F.col("view") == v, F.col("share"))).alias(f"r{v}") for v in views])
+    # Words that stand often and close hardly any line.
+    inside = words.where((F.col("n") >= 5 * ENOUGH) & (F.col("ends") < LOW / 40 * (F.col("n") + F.col("ends")))).select(F.col("word").alias("last"), F.lit(True).alias("inside"))
+    r = [F.col(f"r{v}") for v in views]
+    coarse = F.when(r[0].isNull(), F.coalesce(r[2], r[3]))
+    fine = F.coalesce(r[0], r[1], F.lit(1.0))
+    share = F.when(r[0].isNull() & r[1].isNotNull() & coarse.isNotNull(), F.greatest(fine, coarse)).otherwise(fine)
+    low = found.join(inside, "last", "left").where(F.col("inside").isNotNull() | (share < LOW) | F.coalesce(coarse < LOW / 8, F.lit(False))).select(*same)
+    dotted = records.where("dots is not null").select("doc_id", "dots").join(rhetorical, "dots", "left_anti")
+    return lines.join(low, same, "left_semi").select("doc_id").unionByName(dotted.select("doc_id"))
+
+
+OF_RECORD = "doc_id long, source string, site_lines array<long>, ending boolean, lasts array<string>, keys array<long>, dots long, whole long, size long, shingles long, open boolean, bands array<long>"
+READ = f"{OF_RECORD}, word string, n long, ends long, view int, counts array<int>, closed array<int>"  # a row is a record, a word, or the contexts of one view
 
 
 def truncated(docs: DataFrame) -> DataFrame:
@@ -389,46 +404,61 @@ def truncated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select("doc_id", "source", "domain", "text")
     texts = rows.where("text is not null")
-    shared = spark.sparkContext.broadcast(_fitted(texts))
     one = rows.repartition(tasks(spark), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("r")).select("doc_id", "r.source", "r.text")
+    shared = spark.sparkContext.broadcast(_frequent(one.where("text is not null")))
     base = one.join(_site_lines(texts), "doc_id", "left").select("doc_id", "source", F.coalesce("site_lines", F.array().cast("array<long>")).alias("site_lines"), "text")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge, sign = Judge(pickle.loads(shared.value)), Signer()
+        contexts, sign = Contexts(shared.value), Signer()
         for batch in batches:
-            out, counts, closing = [], Counter(), Counter()
+            out, rest, counts, closing = [], [], Counter(), Counter()
             for doc_id, source, site, text in zip(batch["doc_id"], batch["source"], batch["site_lines"], batch["text"]):
                 if not text:
-                    out.append((doc_id, source, site, False, [], None, 0, 0, False, None, None, None, None))
+                    out.append([doc_id, source, site, False, [], [], None, None, 0, 0, False, None])
                     continue
-                lines, own = _lines_of(text), set(site)
-                for kind, _, tokens in lines:
+                lines, own, places = _lines_of(text), set(site), {}
+                for no, (kind, _, tokens) in enumerate(lines, 1):
                     if tokens and kind not in ("none", "code"):
+                        places[no] = contexts.add(kind, tokens)
                         low = [t.lower() for t in tokens]
                         counts.update(low if kind == "stop" else low[:-1])
                         if kind == "plain":
                             closing[low[-1]] += 1
-                ending, lasts = judge.open(lines, own)
+                ending, plain, dots = _closing(lines, own)
+                lasts = [lines[no - 1][2][-1].lower() for no in plain]
+                noted = [contexts.note(places[no]) for no in plain], None if dots is None else contexts.note(places[dots])
                 body = _body(lines, own)
                 n, bands = sign(body)
                 whole = _signed(int.from_bytes(blake2b(" ".join(body).encode("utf-8", "replace"), digest_size=8).digest(), "little"))
-                out.append((doc_id, source, site, ending, lasts, whole, len(body), n, _stays_open(lines, own), bands, None, None, None))
-            blank = (None,) * 10
-            out += [(*blank, w, counts[w], closing[w]) for w in counts.keys() | closing.keys() if w[0].isalnum()]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in READ.split(", ")]).astype({k: "Int64" for k in ("doc_id", "whole", "size", "shingles", "n", "ends")})
+                out.append([doc_id, source, site, ending, lasts, *noted, whole, len(body), n, _stays_open(lines, own), bands])
+                if contexts.full():
+                    rest += contexts.counts()
+            rest += contexts.counts()
+            keys = contexts.keys()
+            for row in out:
+                row[5] = keys[row[5], : len(VIEWS)].ravel() if row[5] else []
+                row[6] = None if row[6] is None else int(keys[row[6], len(VIEWS)])
+            blank = (None,) * 12
+            out = [(*row, *(None,) * 6) for row in out]
+            out += [(*blank, w, counts[w], closing[w], None, None, None) for w in counts.keys() | closing.keys() if w[0].isalnum()]
+            out += [(*blank[:5], seen, *blank[6:], None, None, None, view, n.astype(np.int32), ends.astype(np.int32)) for view, seen, n, ends in rest]
+            whole_numbers = ("doc_id", "dots", "whole", "size", "shingles", "n", "ends", "view")
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in READ.split(", ")], dtype=object).astype({k: "Int64" for k in whole_numbers})
 
     seen = cut(base.mapInPandas(read, READ))
     shared.unpersist()
     records = seen.where("doc_id is not null")
-    # Last words that no line has inside: beginnings of a word that lines have inside, or end with far more often?
     words = seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    closers = records.where("not ending").select("doc_id", F.explode("lasts").alias("last"))
-    unknown = closers.select(F.col("last").alias("word")).distinct().join(words, "word", "left").where("coalesce(n, 0) = 0").select(F.col("word").alias("last"), F.coalesce("ends", F.lit(0)).alias("own"))
-    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring(F.col("word"), F.lit(1), i))
+    # Last words that no line has inside: beginnings of a word that lines have inside, or end with far more often?
+    closers = records.select("doc_id", F.explode("lasts").alias("last"))
+    unknown = cut(closers.select(F.col("last").alias("word")).distinct().join(words, "word", "left").where("coalesce(n, 0) = 0").select(F.col("word").alias("last"), F.coalesce("ends", F.lit(0)).alias("own")))
+    longest = unknown.agg(F.max(F.length("last"))).first()[0] or 0  # no longer beginning of a word can be one of them
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length("word") - 1, F.lit(longest)), F.lit(1))), lambda i: F.substring(F.col("word"), F.lit(1), i))
     longer = words.where((F.col("n") > 0) | (F.col("ends") >= 2 * ENOUGH)).select(F.explode(heads).alias("last"), "n", "ends")
     longer = longer.join(unknown, "last").groupBy("last").agg(F.max("own").alias("own"), F.max("n").alias("inner"), F.max(F.col("n") + F.col("ends")).alias("mass"))
     pieces = longer.where((F.col("inner") > 0) | (F.col("mass") >= 5 * F.col("own"))).select("last")
     by_ending = records.where("ending").select("doc_id").unionByName(closers.join(pieces, "last", "left_semi").select("doc_id"))
+    by_ending = by_ending.unionByName(_open_closings(records, seen.where("view is not null"), words))
     flagged = by_ending.select("doc_id", F.lit("ending").alias("how")).unionByName(_cut_copies(records, texts).select("doc_id", F.lit("copy").alias("how")))
     flagged = flagged.groupBy("doc_id").agg(F.min("how").alias("how"))
     return records.select("doc_id", "source").join(flagged, "doc_id", "left")

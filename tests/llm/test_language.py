@@ -1,5 +1,6 @@
 """Names, truncation and personal data."""
 
+import numpy as np
 import pytest
 
 from liame.llm import names as nm
@@ -180,6 +181,37 @@ def test_a_bounded_sample_fits_the_same_verdicts(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in tr.truncated(docs).where("how is not null").collect()) == whole == [1000, 1001]
 
 
+def test_endings_are_learned_from_all_texts(spark, monkeypatch):
+    """With a bound on a sample so tight that it holds no text, closing words are still known from the others."""
+    rows = [(i, "rss", f"s{i}.br", f"a oposição afirma que a medida é apenas uma resposta à crise de energia em cidade{i % 26}.") for i in range(400)]
+    rows += [(1000, "rss", "t.br", "a oposição afirma que a medida é apenas"), (1002, "rss", "u.br", "a oposição afirma que a medida é apenas uma...")]
+    rows += [(2000 + i, "rss", "v.br", f"vai entender o caso {i}...") for i in range(9)]
+    monkeypatch.setattr(tr, "SAMPLE_CHARS", 1)
+    docs = spark.createDataFrame(rows, "doc_id long, source string, domain string, text string")
+    assert sorted(r["doc_id"] for r in tr.truncated(docs).where("how is not null").collect()) == [1000, 1002]
+
+
+def test_contexts_are_counted_in_steps(monkeypatch):
+    lines = [("plain", "a b c".split()), ("stop", "a b c .".split()), ("dots", "c b".split()), ("plain", "a b c".split())]
+
+    def counted(held):
+        monkeypatch.setattr(tr, "HELD", held)
+        contexts, totals, notes = tr.Contexts({"a": True, "b": False}), {}, []
+        for kind, tokens in lines:
+            notes.append(contexts.note(contexts.add(kind, tokens)))
+            for view, *rows in contexts.counts() if contexts.full() else []:
+                for k, n, e in zip(*rows):
+                    totals[view, k] = tuple(np.add(totals.get((view, k), (0, 0)), (n, e)))
+        for view, *rows in contexts.counts():
+            for k, n, e in zip(*rows):
+                totals[view, k] = tuple(np.add(totals.get((view, k), (0, 0)), (n, e)))
+        keys = contexts.keys()[notes]
+        return totals, keys.tolist(), [totals[v, keys[0][v]] for v in range(len(tr.VIEWS))]
+
+    whole = counted(10**6)
+    assert whole == counted(1) and whole[1][0] == whole[1][3] != whole[1][1] and whole[2] == [(3, 2)] * len(tr.VIEWS)
+
+
 def test_checksums():
     assert pv.luhn("4539578763621486") and not pv.luhn("4539578763621487") and pv.mod97("GB82WEST12345698765432") and not pv.mod97("GB82WEST12345698765433")
     assert pv.checked("529.982.247-25") and not pv.checked("529.982.247-21") and not pv.checked("11111111111")
